@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern.llm.mixing import mix
+from quern.llm.neardup import found_duplicates
 from quern.llm.packing import pack
 from quern.llm.splitting import split_long
 from quern.llm.tokens import token_count
@@ -19,6 +20,10 @@ def _settings(spark: SparkSession, folder: str) -> dict[str, int]:
     return {r["setting"]: r["tokens"] for r in table(spark, folder, "length_settings").collect()}
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return found_duplicates(*tables(spark, folder, "postings_raw", "queue_entries"))
+
+
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", token_count(F.col("text")).alias("n"))
     return pack(docs, "doc_id", "n", _settings(spark, folder)["pack_capacity"])
@@ -45,5 +50,5 @@ def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_long(docs, "doc_id", "text", set_to["piece_limit"], set_to["piece_overlap"])
 
 
-QUERIES: dict[str, Query] = {"p7_containers": p7_containers, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_pieces": p9_pieces}
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p7_containers": p7_containers, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_pieces": p9_pieces}
 SQL: dict[str, str] = {}
