@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quern.llm.canonical import found_canonical
 from quern.llm.mixing import mix
 from quern.llm.neardup import found_duplicates
 from quern.llm.packing import pack
@@ -20,6 +21,10 @@ def _settings(spark: SparkSession, folder: str) -> dict[str, int]:
     return {r["setting"]: r["tokens"] for r in table(spark, folder, "length_settings").collect()}
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return found_canonical(*tables(spark, folder, "postings_raw", "skill_entries", "titles", "skills"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return found_duplicates(*tables(spark, folder, "postings_raw", "queue_entries"))
 
@@ -50,5 +55,5 @@ def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_long(docs, "doc_id", "text", set_to["piece_limit"], set_to["piece_overlap"])
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p7_containers": p7_containers, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_pieces": p9_pieces}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p7_containers": p7_containers, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_pieces": p9_pieces}
 SQL: dict[str, str] = {}
