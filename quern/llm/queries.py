@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern.llm.canonical import found_canonical
+from quern.llm.linking import found_links, link_confidence
 from quern.llm.mixing import mix
+from quern.llm.names import found_names
 from quern.llm.neardup import found_duplicates
 from quern.llm.packing import pack
 from quern.llm.splitting import split_long
@@ -29,6 +31,18 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return found_duplicates(*tables(spark, folder, "postings_raw", "queue_entries"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return found_names(*tables(spark, folder, "employers", "employer_aggs", "contacts"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return found_links(*tables(spark, folder, "boards", "postings_raw", "employers"))
+
+
+def p5_confidence(spark: SparkSession, folder: str) -> DataFrame:
+    return link_confidence(*tables(spark, folder, "boards", "postings_raw", "employers"))
+
+
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", token_count(F.col("text")).alias("n"))
     return pack(docs, "doc_id", "n", _settings(spark, folder)["pack_capacity"])
@@ -55,5 +69,5 @@ def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_long(docs, "doc_id", "text", set_to["piece_limit"], set_to["piece_overlap"])
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p7_containers": p7_containers, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_pieces": p9_pieces}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_confidence": p5_confidence, "p7_containers": p7_containers, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_pieces": p9_pieces}
 SQL: dict[str, str] = {}
