@@ -31,7 +31,7 @@ def fold_accents(text: Column) -> Column:
 
 def collapse(text: Column) -> Column:
     """Single blanks, no blanks around line ends, at most one blank line, trimmed."""
-    text = F.regexp_replace(F.replace(text, F.lit(" "), F.lit(" ")), r"[ \t]+", " ")
+    text = F.regexp_replace(F.replace(text, F.lit("\u00a0"), F.lit(" ")), r"[ \t]+", " ")
     text = F.regexp_replace(F.regexp_replace(text, r" *\n *", "\n"), r"\n{3,}", "\n\n")
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 

@@ -48,7 +48,7 @@ def flat_text(markup: str | None, twice: bool = False) -> str:
     parser = _Flat()
     parser.feed(text)
     parser.close()
-    text = "".join(parser.parts).replace(" ", " ")
+    text = "".join(parser.parts).replace("\u00a0", " ")
     text = re.sub(r" *\n *", "\n", re.sub(r"[ \t]+", " ", text))
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 
