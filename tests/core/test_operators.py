@@ -66,15 +66,16 @@ def test_dedupe(spark):
     assert [r.o for r in got.orderBy("place").collect()] == [1, 2, 4, 3]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [0, 1000])
+def test_components(spark, at_once):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101), (7, 7), (None, 3)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long"), in_one_task=at_once).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"), in_one_task=at_once).count() == 0
 
 
 def test_components_hub(spark):
-    got = components(spark.range(1, 3000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b")))
+    got = components(spark.range(1, 3000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b")), in_one_task=0)
     assert got.filter("root = 0").count() == 3000
 
 
