@@ -15,7 +15,7 @@ from quern.llm.names import TRADES, name_nodes, name_records, resolve, without_o
 from quern.session import written
 
 
-def match_marginals(pairs: DataFrame, most_rounds: int = 30, settled: float = 1e-4, damping: float = 0.3) -> DataFrame:
+def match_marginals(pairs: DataFrame, most_rounds: int = 30, settled: float = 1e-3, damping: float = 0.2) -> DataFrame:
     """``a, b, confidence`` for candidate pairs ``(a, b, odds)``.
 
     ``odds`` are a pair's prior odds.  An entity's factor allows one pair or
@@ -23,7 +23,13 @@ def match_marginals(pairs: DataFrame, most_rounds: int = 30, settled: float = 1e
     sees them).  Sums are combined before the shuffle, so an entity with very
     many candidates is no large group.
     """
-    state = written(pairs.select("a", "b", "odds", F.lit(1.0).alias("from_a"), F.lit(1.0).alias("from_b")), "messages")
+    ones = F.lit(1.0)
+    start = pairs.select("a", "b", "odds", ones.alias("from_a"), ones.alias("from_b"))
+    # a pair without rivals on either side has its answer; messages are for the others
+    rivals_a = pairs.groupBy("a").agg(F.count("*").alias("na"))
+    rivals_b = pairs.groupBy("b").agg(F.count("*").alias("nb"))
+    start = written(start.join(rivals_a, "a").join(rivals_b, "b").withColumn("rival", (F.col("na") > 1) | (F.col("nb") > 1)), "messages")
+    state = start.filter("rival").select("a", "b", "odds", "from_a", "from_b")
     for _ in range(most_rounds):
         # the odds that reach each side exclude what that side itself said
         sums_a = state.groupBy("a").agg(F.sum(F.col("odds") * F.col("from_b")).alias("sum_a"))
@@ -38,6 +44,7 @@ def match_marginals(pairs: DataFrame, most_rounds: int = 30, settled: float = 1e
         state = new.select("a", "b", "odds", F.col("new_a").alias("from_a"), F.col("new_b").alias("from_b"))
         if moved is None or moved < settled:
             break
+    state = state.unionByName(start.filter("not rival").select("a", "b", "odds", "from_a", "from_b"))
     belief = F.col("odds") * F.col("from_a") * F.col("from_b")
     return state.select("a", "b", (belief / (1 + belief)).alias("confidence"))
 
