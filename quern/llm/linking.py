@@ -77,6 +77,7 @@ def entity_links(boards: DataFrame, postings: DataFrame, employers: DataFrame) -
     record.  A bare name takes the trade that its board's other names or token
     give it, as a name alone may be that of several firms.
     """
+    employers = employers.select("employer_id", "display_name", "states", "certified")
     rows = boards.select(F.lit("board").alias("kind"), F.col("board_id").alias("record_id"), F.col("company").alias("text"), F.lower("token").alias("token"), F.lit(None).cast("string").alias("place"))
     rows = rows.unionByName(postings.select(F.lit("posting").alias("kind"), F.col("posting_id").alias("record_id"), F.col("company_name").alias("text"), _token(F.col("url")).alias("token"), F.col("location_raw").alias("place")))
     rows = written(rows.filter((F.trim("text") != "") & F.col("record_id").isNotNull()).dropDuplicates(["kind", "record_id", "text"]), "rows")

@@ -199,19 +199,8 @@ def resolve(records: DataFrame, most_rounds: int = 8) -> DataFrame:
     """
     nodes = written(records, "names")
     names = nodes.select("node", "proper").union(nodes.filter("second <> ''").select("node", "second")).distinct()
-    links = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    before = None
+    links, profile = None, nodes.select("node", F.col("node").alias("root"))
     for _ in range(most_rounds):
-        if before is None:
-            profile = nodes.select("node", F.col("node").alias("root"))
-        else:
-            # nodes that nothing has linked yet are their own profile
-            profile = nodes.select("node").join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-        profile = written(profile, "profiles")
-        count = profile.agg(F.count_distinct("root")).first()[0]
-        if count == before:
-            return profile
-        before = count
         kinds = nodes.join(profile, "node").select("root", "kind", "trade", "legal", "weight")
         spelled = names.join(profile, "node").select("root", F.explode(without_one(F.col("proper"))).alias("v")).distinct()
         # a profile has all names and all trades of its records
@@ -227,11 +216,16 @@ def resolve(records: DataFrame, most_rounds: int = 8) -> DataFrame:
         seek = spelled.join(bare.groupBy("root").agg(F.max("legal").alias("legal")), "root").select(F.col("root").alias("bare"), "legal", "v")
         choice = seek.join(spelled.join(size, "root"), "v").groupBy("bare", "legal", "root", "total").agg(F.max(F.length("v")).alias("near"))
         choice = choice.join(forms.select("root", "legal", "w"), ["root", "legal"], "left")
-        first = F.row_number().over(Window.partitionBy("bare").orderBy(F.desc("near"), F.desc_nulls_last(F.when(F.col("legal") != "", F.col("w"))), F.desc("total"), "root"))
-        chosen = choice.withColumn("rank", first).filter("rank = 1").select(F.col("bare").alias("a"), F.col("root").alias("b"))
+        order = F.struct(F.col("near"), F.when(F.col("legal") != "", F.coalesce("w", F.lit(0))).otherwise(0), F.col("total"), F.col("root"))
+        chosen = choice.groupBy("bare").agg(F.max_by("root", order).alias("b")).select(F.col("bare").alias("a"), "b")
         # those that have no choice are one organisation by their name
-        alone = seek.join(choice.select("bare").distinct(), "bare", "left_anti").select(F.col("v").alias("key"), F.col("bare").alias("node"))
-        links = written(links.unionByName(found).unionByName(chosen).unionByName(_stars(alone)).distinct(), "merges")
+        alone = seek.join(chosen.select(F.col("a").alias("bare")), "bare", "left_anti").select(F.xxhash64("v").alias("key"), F.col("bare").alias("node"))
+        new = written(found.unionByName(chosen).unionByName(_stars(alone)), "merges")
+        if new.isEmpty():
+            return profile
+        # the richer profiles go around again; nodes that nothing has linked stay their own
+        links = new if links is None else links.unionByName(new)
+        profile = written(nodes.select("node").join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "profiles")
     raise RuntimeError("the profiles did not settle")
 
 

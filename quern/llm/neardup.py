@@ -89,7 +89,7 @@ def sketches(sets: list[np.ndarray], bins: int) -> np.ndarray:
     """A row of ``bins`` values for each set that isn't empty, all filled."""
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
     out = np.full(len(sets) * bins, full)
-    lengths = np.array([len(s) for s in sets])
+    lengths = np.array([len(s) for s in sets], dtype=np.int64)
     elements = np.concatenate(sets) if len(sets) else np.array([], dtype=np.uint64)
     owner = np.repeat(np.arange(len(sets)), lengths)
     low = np.uint64(0xFFFFFFFF)

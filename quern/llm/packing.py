@@ -88,25 +88,33 @@ def configuration_lp(sizes: np.ndarray, counts: np.ndarray, capacity: int, epsil
     return {k: x / scale for k, x in found.items()}
 
 
-def _round(patterns: dict[tuple, float], sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
-    """Whole counts: systematic rounding within what is left of each size, then best fit for the rest."""
-    left, runs, debt = counts.astype(np.int64).copy(), [], 0.0
-    full = lambda p: sum(int(sizes[j]) * k for j, k in p)
-    for pattern, x in sorted(patterns.items(), key=lambda p: (-full(p[0]), p[0])):
-        debt += x
-        n = min([int(debt), *(int(left[j]) // k for j, k in pattern)])
-        if n > 0:
-            debt -= n
-            runs.append((n, {int(sizes[j]): k for j, k in pattern}))
-            for j, k in pattern:
-                left[j] -= n * k
-        debt = min(debt, 1.0 + x)
-    # whole multiples of any pattern that still fits what is left
-    for pattern in sorted(patterns, key=lambda p: (-full(p), p)):
-        if n := min(int(left[j]) // k for j, k in pattern):
-            runs.append((n, {int(sizes[j]): k for j, k in pattern}))
-            for j, k in pattern:
-                left[j] -= n * k
+def _round(sizes: np.ndarray, counts: np.ndarray, capacity: int, part: float, fullest: bool, **lp) -> list[tuple[int, dict[int, int]]]:
+    """Whole counts: a part of the program's solution is rounded and taken, and the program solved for what is left.
+
+    A pattern's fraction that rounding drops is owed to the next.  Once little
+    is left, or the program adds nothing, the rest takes the best fit.
+    ``fullest`` patterns come first, or else the most used.
+    """
+    left, runs = counts.astype(np.int64).copy(), []
+    while (left * sizes).sum() > 8 * capacity:
+        on = np.flatnonzero(left > 0)
+        patterns = configuration_lp(sizes[on], left[on].astype(float), capacity, **lp)
+        need, taken, owed = part * (left * sizes).sum() / capacity, 0, 0.0
+        full = {p: sum(int(sizes[on[j]]) * k for j, k in p) for p in patterns}
+        for pattern, x in sorted(patterns.items(), key=lambda p: (-full[p[0]] if fullest else -p[1], p[0])):
+            owed += x
+            n = min(int(owed), *(int(left[on[j]]) // k for j, k in pattern))
+            if n > 0:
+                owed -= n
+                taken += n
+                runs.append((n, {int(sizes[on[j]]): k for j, k in pattern}))
+                for j, k in pattern:
+                    left[on[j]] -= n * k
+            owed = min(owed, 1.0 + x)
+            if taken >= need:
+                break
+        if not taken or part >= 1:
+            break
     # the rest by decreasing size into the fullest container that takes it; runs with a gap are opened one by one
     gaps: list[tuple[int, int]] = sorted((capacity - sum(s * k for s, k in p.items()), i) for i, (n, p) in enumerate(runs) if n)
     gaps = [g for g in gaps if g[0] > 0]
@@ -149,8 +157,13 @@ def plan_containers(histogram: dict[int, int], capacity: int, **lp) -> Plan:
     sizes, counts = (np.array(x, dtype=np.int64) for x in zip(*items))
     if sizes[-1] > capacity:
         raise ValueError("an item is larger than the capacity")
-    runs = _round(configuration_lp(sizes, counts.astype(float), capacity, **lp), sizes, counts, capacity)
-    return Plan(capacity, runs, int(-(-int((sizes * counts).sum()) // capacity)))
+    bound = -(-int((sizes * counts).sum()) // capacity)
+    runs = _round(sizes, counts, capacity, 1.0, True, **lp)
+    if sum(n for n, _ in runs) > bound * 1.002:
+        # few sizes, or large ones: many small steps of the program do better
+        other = _round(sizes, counts, capacity, 0.3, False, **{"epsilon": 0.1, "rounds": 60, "per_round": 16, **lp})
+        runs = min(runs, other, key=lambda r: sum(n for n, _ in r))
+    return Plan(capacity, runs, bound)
 
 
 def pack(df: DataFrame, key: str, size: str, capacity: int, spread: int = 64, **lp) -> DataFrame:
