@@ -15,7 +15,7 @@ from quern.llm.names import TRADES, name_nodes, name_records, resolve, without_o
 from quern.session import written
 
 
-def match_marginals(pairs: DataFrame, most_rounds: int = 30, settled: float = 1e-3, damping: float = 0.2) -> DataFrame:
+def match_marginals(pairs: DataFrame, most_rounds: int = 20, settled: float = 2e-3, damping: float = 0.1) -> DataFrame:
     """``a, b, confidence`` for candidate pairs ``(a, b, odds)``.
 
     ``odds`` are a pair's prior odds.  An entity's factor allows one pair or
@@ -31,19 +31,21 @@ def match_marginals(pairs: DataFrame, most_rounds: int = 30, settled: float = 1e
     start = written(start.join(rivals_a, "a").join(rivals_b, "b").withColumn("rival", (F.col("na") > 1) | (F.col("nb") > 1)), "messages")
     state = start.filter("rival").select("a", "b", "odds", "from_a", "from_b")
     for _ in range(most_rounds):
-        # the odds that reach each side exclude what that side itself said
-        sums_a = state.groupBy("a").agg(F.sum(F.col("odds") * F.col("from_b")).alias("sum_a"))
-        sums_b = state.groupBy("b").agg(F.sum(F.col("odds") * F.col("from_a")).alias("sum_b"))
-        new = state.join(sums_a, "a").join(sums_b, "b")
-        others_a = F.greatest(F.lit(0.0), F.col("sum_a") - F.col("odds") * F.col("from_b"))
-        others_b = F.greatest(F.lit(0.0), F.col("sum_b") - F.col("odds") * F.col("from_a"))
-        damp = lambda old, x: F.col(old) * damping + (1 - damping) / (1 + x)
-        new = new.select("a", "b", "odds", damp("from_a", others_a).alias("new_a"), damp("from_b", others_b).alias("new_b"), "from_a", "from_b")
-        new = written(new, "messages")
-        moved = new.agg(F.max(F.greatest(F.abs(F.col("new_a") - F.col("from_a")), F.abs(F.col("new_b") - F.col("from_b"))))).first()[0]
-        state = new.select("a", "b", "odds", F.col("new_a").alias("from_a"), F.col("new_b").alias("from_b"))
+        # the odds that reach each side exclude what that side itself said; one side speaks after the other, which settles sooner
+        old = state
+        for me, other in (("a", "b"), ("b", "a")):
+            sums = state.groupBy(me).agg(F.sum(F.col("odds") * F.col(f"from_{other}")).alias("all"))
+            rest = F.greatest(F.lit(0.0), F.col("all") - F.col("odds") * F.col(f"from_{other}"))
+            said = damping * F.col(f"from_{me}") + (1 - damping) / (1 + rest)
+            state = state.join(sums, me).withColumn(f"from_{me}", said).drop("all")
+        was = old.select("a", "b", (F.col("odds") * F.col("from_a") * F.col("from_b")).alias("was"))
+        belief = F.col("odds") * F.col("from_a") * F.col("from_b")
+        state = written(state.join(was, ["a", "b"]).withColumn("moved", F.abs(belief / (1 + belief) - F.col("was") / (1 + F.col("was")))), "messages")
+        moved = state.agg(F.max("moved")).first()[0]
+        state = state.drop("was", "moved")
         if moved is None or moved < settled:
             break
+    state = state.select("a", "b", "odds", "from_a", "from_b")
     state = state.unionByName(start.filter("not rival").select("a", "b", "odds", "from_a", "from_b"))
     belief = F.col("odds") * F.col("from_a") * F.col("from_b")
     return state.select("a", "b", (belief / (1 + belief)).alias("confidence"))
