@@ -15,7 +15,7 @@ from quern.functions.udf import html_text
 from quern.operators import dedupe, employers as em, lexicon, listing
 from quern.operators.packed import split_packed, unpack
 from quern.operators.snapshots import board_key, found_changes
-from quern.sources.tables import table, tables
+from quern.sources.tables import spread_out, table, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -291,7 +291,9 @@ _SQL_SKILL = "d AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS
 def skills_in_texts(spark, folder):
     """Skills that a text has by their canonical names."""
     lex = [(n, [n], w) for n, _, w in _skill_lexicon(spark, folder)]
-    rows = table(spark, folder, "documents").filter("text is not null").select("doc_id", lexicon.terms_in(F.lower("text"), lex).alias("x"))
+    # in lower case once, not for each term
+    rows = spread_out(table(spark, folder, "documents").filter("text is not null").select("doc_id", "text")).select("doc_id", F.lower("text").alias("low"))
+    rows = rows.select("doc_id", lexicon.terms_in(F.col("low"), lex).alias("x"))
     return rows.select("doc_id", F.array_join("x.names", "; ").alias("names"), F.col("x.weight").cast("long").alias("weight"))
 
 
@@ -299,8 +301,8 @@ def skills_in_texts(spark, folder):
 def skill_gaps(spark, folder):
     """How many texts have each skill by any of its forms, and how often."""
     lex = _skill_lexicon(spark, folder)
-    low = F.lower("text")
-    rows = table(spark, folder, "documents").filter("text is not null").select(F.explode(F.array(*[F.struct(F.lit(n).alias("skill"), lexicon.term_hits(low, f).alias("hits")) for n, f, _ in lex])).alias("x")).select("x.*")
+    low = F.col("low")
+    rows = spread_out(table(spark, folder, "documents").filter("text is not null").select("text")).select(F.lower("text").alias("low")).select(F.explode(F.array(*[F.struct(F.lit(n).alias("skill"), lexicon.term_hits(low, f).alias("hits")) for n, f, _ in lex])).alias("x")).select("x.*")
     return rows.filter("hits > 0").groupBy("skill").agg(F.count("*").alias("texts"), F.sum("hits").cast("long").alias("hits"))
 
 
@@ -348,7 +350,7 @@ def text_search(spark, folder):
 @query()
 def flat_texts(spark, folder):
     """Plain text of every description; escaped once more is told from having no tag."""
-    rows = table(spark, folder, "postings_raw").filter("description_html is not null").select("posting_id", "description_html").distinct()
+    rows = spread_out(table(spark, folder, "postings_raw").filter("description_html is not null").select("posting_id", "description_html").distinct())
     twice = ~F.col("description_html").rlike("</?[a-zA-Z!]")
     return rows.select("posting_id", html_text(F.col("description_html"), twice).alias("text"))
 

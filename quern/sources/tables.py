@@ -12,3 +12,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def tables(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:
     return [table(spark, folder, n) for n in names]
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """Rows for work that is heavy for each: over all cores where the input came in fewer parts than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
