@@ -14,7 +14,7 @@ from quern.llm.neardup import found_duplicates
 from quern.llm.packing import pack
 from quern.llm.splitting import split_long
 from quern.llm.tokens import token_count
-from quern.sources.tables import table, tables
+from quern.sources.tables import spread_out, table, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,7 +28,8 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return found_duplicates(*tables(spark, folder, "postings_raw", "queue_entries"))
+    postings, queue = tables(spark, folder, "postings_raw", "queue_entries")
+    return found_duplicates(spread_out(postings.select("posting_id", "title", "description_html", "description_text", "url")), queue)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,13 +45,13 @@ def p5_confidence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", token_count(F.col("text")).alias("n"))
+    docs = spread_out(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", token_count(F.col("text")).alias("n"))
     return pack(docs, "doc_id", "n", _settings(spark, folder)["pack_capacity"])
 
 
 def _mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     docs, targets = tables(spark, folder, "documents", "mix_targets")
-    docs = docs.filter(F.trim("text") != "").select("doc_id", F.md5("text").alias("c"), "source", token_count(F.col("text")).alias("n"))
+    docs = spread_out(docs.filter(F.trim("text") != "").select("doc_id", "text", "source")).select("doc_id", F.md5("text").alias("c"), "source", token_count(F.col("text")).alias("n"))
     return mix(docs, "doc_id", "c", "source", "n", targets)
 
 
