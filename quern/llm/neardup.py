@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from quern.operators.components import components
 from quern.session import written
 
-BANDS, ROWS, EXTRA = 40, 7, 96
+BANDS, ROWS, EXTRA = 40, 6, 96
 #: At most so many keys are broadcast; beyond it the join is by shuffle.
 BROADCAST_ROWS = 2_000_000
 
