@@ -30,25 +30,22 @@ def match_marginals(pairs: DataFrame, most_rounds: int = 20, settled: float = 2e
     rivals_b = pairs.groupBy("b").agg(F.count("*").alias("nb"))
     start = written(start.join(rivals_a, "a").join(rivals_b, "b").withColumn("rival", (F.col("na") > 1) | (F.col("nb") > 1)), "messages")
     state = start.filter("rival").select("a", "b", "odds", "from_a", "from_b")
+    belief = lambda: F.col("odds") * F.col("from_a") * F.col("from_b")
     for _ in range(most_rounds):
         # the odds that reach each side exclude what that side itself said; one side speaks after the other, which settles sooner
-        old = state
+        state = state.withColumn("was", belief() / (1 + belief()))
         for me, other in (("a", "b"), ("b", "a")):
             sums = state.groupBy(me).agg(F.sum(F.col("odds") * F.col(f"from_{other}")).alias("all"))
             rest = F.greatest(F.lit(0.0), F.col("all") - F.col("odds") * F.col(f"from_{other}"))
             said = damping * F.col(f"from_{me}") + (1 - damping) / (1 + rest)
-            state = state.join(sums, me).withColumn(f"from_{me}", said).drop("all")
-        was = old.select("a", "b", (F.col("odds") * F.col("from_a") * F.col("from_b")).alias("was"))
-        belief = F.col("odds") * F.col("from_a") * F.col("from_b")
-        state = written(state.join(was, ["a", "b"]).withColumn("moved", F.abs(belief / (1 + belief) - F.col("was") / (1 + F.col("was")))), "messages")
-        moved = state.agg(F.max("moved")).first()[0]
-        state = state.drop("was", "moved")
+            state = written(state.join(sums, me).withColumn(f"from_{me}", said).drop("all"), "messages")
+        moved = state.agg(F.max(F.abs(belief() / (1 + belief()) - F.col("was")))).first()[0]
+        state = state.drop("was")
         if moved is None or moved < settled:
             break
     state = state.select("a", "b", "odds", "from_a", "from_b")
     state = state.unionByName(start.filter("not rival").select("a", "b", "odds", "from_a", "from_b"))
-    belief = F.col("odds") * F.col("from_a") * F.col("from_b")
-    return state.select("a", "b", (belief / (1 + belief)).alias("confidence"))
+    return state.select("a", "b", (belief() / (1 + belief())).alias("confidence"))
 
 
 def _token(url: Column) -> Column:
@@ -58,10 +55,14 @@ def _token(url: Column) -> Column:
     return F.lower(F.when(path != "", path).otherwise(host))
 
 
-def _trade_in(token: Column, proper: Column) -> Column:
-    """The trade that a token has after the proper name, written out or begun."""
-    rest = F.when(F.startswith(token, F.lower(proper)), F.regexp_replace(F.substring(token, F.length(proper) + 1, F.lit(99)), r"[^a-z].*|\d.*", ""))
-    return F.coalesce(*[F.when((F.length(rest) >= 3) & F.startswith(F.lit(t.lower()), rest), t) for t in TRADES], F.lit(""))
+def _after(token: Column, proper: Column) -> Column:
+    """The letters that a token has after the proper name."""
+    return F.when(F.startswith(token, F.lower(proper)), F.regexp_extract(F.substring(token, F.length(proper) + 1, F.lit(99)), "^[a-z]+", 0))
+
+
+def _trade_in(letters: Column) -> Column:
+    """The trade that the letters write out or begin."""
+    return F.coalesce(*[F.when(F.startswith(F.lit(t.lower()), letters), t) for t in TRADES])
 
 
 def _states(text: Column) -> Column:
@@ -88,8 +89,10 @@ def entity_links(boards: DataFrame, postings: DataFrame, employers: DataFrame) -
     here = rows.groupBy("text", "token").agg(F.count("*").alias("n"), F.max((F.col("kind") == "board").cast("int")).alias("own")).join(read, "text")
     most = here.filter("trade <> ''").groupBy("token", "proper", "trade").agg((F.sum("n") + 1000 * F.max("own")).alias("n")).groupBy("token", "proper").agg(F.max_by("trade", F.struct("n", "trade")).alias("most"))
     here = here.join(most, ["token", "proper"], "left")
-    hint = F.when((F.col("kind") == "FIRM") & (F.col("trade") == ""), F.coalesce(F.when(F.length(_trade_in(F.col("token"), F.col("proper"))) > 0, _trade_in(F.col("token"), F.col("proper"))), "most", F.lit(""))).otherwise(F.col("trade"))
-    here = here.withColumn("trade", hint)
+    here = written(here.withColumn("after", _after(F.col("token"), F.col("proper"))), "hints")
+    bare = (F.col("kind") == "FIRM") & (F.col("trade") == "")
+    hint = F.when(F.length("after") >= 3, _trade_in(F.col("after")))
+    here = here.withColumn("trade", F.when(bare, F.coalesce(hint, "most", F.lit(""))).otherwise(F.col("trade")))
     form = F.when((F.col("kind") == "FIRM") & (F.col("trade") == ""), F.col("legal")).otherwise("")
     here = written(here.withColumn("node", F.concat_ws("|", "kind", "proper", "trade", form, "second")).select("text", "token", "n", "kind", "proper", "trade", "legal", "second", "node"), "here")
     left = written(_entities(here.withColumn("weight", F.col("n"))), "left-entities")
@@ -108,11 +111,11 @@ def entity_links(boards: DataFrame, postings: DataFrame, employers: DataFrame) -
     )
     one = names(here, left, "a").select("a", F.col("proper").alias("pa"), F.explode(without_one(F.col("proper"))).alias("v"))
     two = names(firms, right, "b").select("b", F.col("proper").alias("pb"), F.explode(without_one(F.col("proper"))).alias("v"))
-    near = one.join(two, "v").groupBy("a", "b").agg(F.max((F.col("pa") == F.col("pb")).cast("int")).alias("same"))
+    near = written(one.join(two, "v").groupBy("a", "b").agg(F.max((F.col("pa") == F.col("pb")).cast("int")).alias("same")), "candidates")
     about = near.join(sides(here, left).withColumnsRenamed({"root": "a", "trades": "ta", "forms": "fa"}), "a").join(sides(firms, right).withColumnsRenamed({"root": "b", "trades": "tb", "forms": "fb"}), ["b", "kind"])
     area_a = records.select("a", F.explode(_states(F.col("place"))).alias("s")).distinct().groupBy("a").agg(F.collect_set("s").alias("sa"))
     area_b = owned.groupBy("b").agg(F.flatten(F.collect_set(_states(F.col("states")))).alias("sb"), F.sum("size").alias("size"))
-    about = about.join(area_a, "a", "left").join(area_b, "b", "left")
+    about = written(about, "about").join(area_a, "a", "left").join(area_b, "b", "left")
     known = lambda c: F.filter(c, lambda x: x != "")
     ta, tb, fa, fb = known("ta"), known("tb"), known("fa"), known("fb")
     none = F.array().cast("array<string>")

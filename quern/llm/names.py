@@ -202,13 +202,14 @@ def resolve(records: DataFrame, most_rounds: int = 8) -> DataFrame:
     links, profile = None, nodes.select("node", F.col("node").alias("root"))
     for _ in range(most_rounds):
         kinds = nodes.join(profile, "node").select("root", "kind", "trade", "legal", "weight")
-        spelled = names.join(profile, "node").select("root", F.explode(without_one(F.col("proper"))).alias("v")).distinct()
+        called = names.join(profile, "node").select("root", "proper").distinct()
+        spelled = called.select("root", F.explode(without_one(F.col("proper"))).alias("v")).distinct()
         # a profile has all names and all trades of its records
         trades = kinds.filter("trade <> '' or kind <> 'FIRM'").select("root", "kind", "trade").distinct()
-        known = names.join(profile, "node").select("root", "proper").distinct().join(trades, "root")
+        known = called.join(trades, "root")
         known = known.select(F.concat_ws("|", "kind", "trade").alias("key"), F.explode(without_two(F.col("proper"))).alias("v"), F.col("root").alias("node"))
         known = known.select(F.xxhash64("key", "v").alias("key"), "node")
-        found = _stars(known)
+        found = written(_stars(known), "found")  # parts of their own keep the plans small
         # profiles of a firm's bare name choose one with a trade
         bare = kinds.join(trades.select("root").distinct(), "root", "left_anti")
         forms = kinds.filter("trade <> ''").groupBy("root", "legal").agg(F.sum("weight").alias("w"))
