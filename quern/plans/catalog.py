@@ -514,3 +514,45 @@ def queue_latest(spark, folder):
 def skills_per_posting(spark, folder):
     rows = table(spark, folder, "skill_entries").select("entry_id", "posting_id", "skill_text").distinct()
     return rows.groupBy("posting_id").agg(F.count("*").alias("entries"), F.count_distinct(F.lower(F.trim("skill_text"))).alias("spellings"))
+
+
+def _sql_slug(c: str, n: int) -> str:
+    words = f"list_filter(string_split(regexp_replace(coalesce({c}, ''), '[^A-Za-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')[1:{n}]"
+    return f"array_to_string(list_transform({words}, lambda w: upper(w[1:1]) || lower(w[2:])), '')"
+
+
+@query(f"SELECT DISTINCT entry_id, {_sql_slug('company', 3)} || {_sql_slug('title', 5)} AS slug FROM queue_entries")
+def slugs(spark, folder):
+    rows = table(spark, folder, "queue_entries").select("entry_id", "company", "title").distinct()
+    return rows.select("entry_id", tx.camel_slug((F.col("company"), 3), (F.col("title"), 5)).alias("slug")).distinct()
+
+
+_SQL_AT = "regexp_replace(regexp_replace(regexp_replace(trim(coalesce(url, '')), '[?#].*$', ''), '/+$', ''), '^(?i)https?://', '')"
+
+
+@query(f"""WITH q AS (SELECT DISTINCT entry_id, {_SQL_AT} AS at FROM queue_entries), p AS (SELECT {_SQL_AT} AS at, min(posting_id) AS posting_id FROM postings_raw GROUP BY 1)
+SELECT entry_id, posting_id FROM q LEFT JOIN p ON q.at = p.at AND q.at <> ''""")
+def queue_postings(spark, folder):
+    """The posting that each entry's address leads to; null where it leads to none."""
+    at = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(F.coalesce("url", F.lit(""))), r"[?#].*$", ""), "/+$", ""), r"^(?i)https?://", "").alias("at")
+    q, p = tables(spark, folder, "queue_entries", "postings_raw")
+    known = p.select("posting_id", at).filter("at <> ''").groupBy("at").agg(F.min("posting_id").alias("posting_id"))
+    return q.select("entry_id", at).distinct().join(known, "at", "left").select("entry_id", "posting_id")
+
+
+@query("""WITH q AS (SELECT DISTINCT entry_id, lower(trim(company)) AS c, lower(trim(title)) AS t, queued_at FROM queue_entries WHERE company IS NOT NULL AND title IS NOT NULL),
+f AS (SELECT c, t, arg_min(entry_id, (queued_at, entry_id)) AS first_id FROM q GROUP BY 1, 2) SELECT entry_id, first_id FROM q JOIN f USING (c, t) WHERE entry_id <> first_id""")
+def queue_repeats(spark, folder):
+    """Entries for a company and title that were queued before, with the first of these."""
+    rows = table(spark, folder, "queue_entries").select("entry_id", F.lower(F.trim("company")).alias("c"), F.lower(F.trim("title")).alias("t"), "queued_at").dropna(subset=["c", "t"]).distinct()
+    first = dedupe.first_wins(rows, ["c", "t"], [F.col("queued_at"), F.col("entry_id")]).select("c", "t", F.col("entry_id").alias("first_id"))
+    return rows.join(first, ["c", "t"]).filter("entry_id <> first_id").select("entry_id", "first_id")
+
+
+@query("""WITH a AS (SELECT DISTINCT agg_id, fiscal_year, display_name, certified, last_decision FROM employer_aggs WHERE display_name IS NOT NULL)
+SELECT display_name, max(fiscal_year) AS fiscal_year, arg_max(agg_id, (fiscal_year, coalesce(last_decision, ''), agg_id)) AS agg_id FROM a GROUP BY 1""")
+def latest_year(spark, folder):
+    """The latest filing row of each name: the last year, and the last decision in it."""
+    rows = table(spark, folder, "employer_aggs").filter("display_name is not null").select("agg_id", "fiscal_year", "display_name", "last_decision").distinct()
+    last = F.max_by("agg_id", F.struct(F.col("fiscal_year"), F.coalesce("last_decision", F.lit("")), F.col("agg_id")))
+    return rows.groupBy("display_name").agg(F.max("fiscal_year").alias("fiscal_year"), last.alias("agg_id"))
