@@ -15,7 +15,7 @@ from quern.llm.names import TRADES, name_nodes, name_records, resolve, without_o
 from quern.session import written
 
 
-def match_marginals(pairs: DataFrame, most_rounds: int = 20, settled: float = 2e-3, damping: float = 0.1) -> DataFrame:
+def match_marginals(pairs: DataFrame, most_rounds: int = 20, settled: float = 1e-2, damping: float = 0.1) -> DataFrame:
     """``a, b, confidence`` for candidate pairs ``(a, b, odds)``.
 
     ``odds`` are a pair's prior odds.  An entity's factor allows one pair or
@@ -89,18 +89,18 @@ def entity_links(boards: DataFrame, postings: DataFrame, employers: DataFrame) -
     here = rows.groupBy("text", "token").agg(F.count("*").alias("n"), F.max((F.col("kind") == "board").cast("int")).alias("own")).join(read, "text")
     most = here.filter("trade <> ''").groupBy("token", "proper", "trade").agg((F.sum("n") + 1000 * F.max("own")).alias("n")).groupBy("token", "proper").agg(F.max_by("trade", F.struct("n", "trade")).alias("most"))
     here = here.join(most, ["token", "proper"], "left")
-    here = written(here.withColumn("after", _after(F.col("token"), F.col("proper"))), "hints")
+    here = here.withColumn("after", _after(F.col("token"), F.col("proper")))
     bare = (F.col("kind") == "FIRM") & (F.col("trade") == "")
     hint = F.when(F.length("after") >= 3, _trade_in(F.col("after")))
     here = here.withColumn("trade", F.when(bare, F.coalesce(hint, "most", F.lit(""))).otherwise(F.col("trade")))
     form = F.when((F.col("kind") == "FIRM") & (F.col("trade") == ""), F.col("legal")).otherwise("")
     here = written(here.withColumn("node", F.concat_ws("|", "kind", "proper", "trade", form, "second")).select("text", "token", "n", "kind", "proper", "trade", "legal", "second", "node"), "here")
-    left = written(_entities(here.withColumn("weight", F.col("n"))), "left-entities")
+    left = _entities(here.withColumn("weight", F.col("n")))
     records = rows.join(here.select("text", "token", "node"), ["text", "token"]).join(left, "node").select("kind", "record_id", F.col("root").alias("a"), "place")
     records = written(records, "records")
     firms = written(name_nodes(employers.filter(F.trim("display_name") != "").groupBy(F.col("display_name").alias("text")).agg(F.count("*").alias("weight"))), "right")
-    right = written(_entities(firms), "right-entities")
-    owned = written(employers.join(firms.select(F.col("text").alias("display_name"), "node"), "display_name").join(right, "node").select("employer_id", F.col("root").alias("b"), "states", (F.coalesce("certified", F.lit(0)) + 1).alias("size")), "owned")
+    right = _entities(firms)
+    owned = employers.join(firms.select(F.col("text").alias("display_name"), "node"), "display_name").join(right, "node").select("employer_id", F.col("root").alias("b"), "states", (F.coalesce("certified", F.lit(0)) + 1).alias("size"))
 
     def sides(read: DataFrame, roots: DataFrame) -> DataFrame:
         """What an entity's records say of it."""
@@ -115,7 +115,7 @@ def entity_links(boards: DataFrame, postings: DataFrame, employers: DataFrame) -
     about = near.join(sides(here, left).withColumnsRenamed({"root": "a", "trades": "ta", "forms": "fa"}), "a").join(sides(firms, right).withColumnsRenamed({"root": "b", "trades": "tb", "forms": "fb"}), ["b", "kind"])
     area_a = records.select("a", F.explode(_states(F.col("place"))).alias("s")).distinct().groupBy("a").agg(F.collect_set("s").alias("sa"))
     area_b = owned.groupBy("b").agg(F.flatten(F.collect_set(_states(F.col("states")))).alias("sb"), F.sum("size").alias("size"))
-    about = written(about, "about").join(area_a, "a", "left").join(area_b, "b", "left")
+    about = about.join(area_a, "a", "left").join(area_b, "b", "left")
     known = lambda c: F.filter(c, lambda x: x != "")
     ta, tb, fa, fb = known("ta"), known("tb"), known("fa"), known("fb")
     none = F.array().cast("array<string>")
