@@ -3,25 +3,82 @@
 Each side is resolved into entities first.  Candidate pairs come from blocking;
 several partial attributes give each a prior.  As an entity has at most one
 counterpart, the pairs are a graph with a factor around each entity; loopy
-belief propagation passes messages over it, by joins and sums, until they
-settle, and yields each pair's marginal probability of being a match.
+belief propagation passes messages over it until they settle, and yields each
+pair's marginal probability of being a match.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.llm.names import TRADES, name_nodes, name_records, resolve, without_one
+from quern.operators.components import components
 from quern.session import written
 
 
-def match_marginals(pairs: DataFrame, most_rounds: int = 20, settled: float = 1e-2, damping: float = 0.1) -> DataFrame:
+#: Pairs of a connected graph of up to so many are settled in one task in memory; a larger graph takes rounds of joins.  The result is the same.
+IN_ONE_TASK = 500_000
+
+
+def _settle(most_rounds: int, settled: float, damping: float):
+    """Messages of whole connected graphs in memory, by the updates of ``match_marginals``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [b for b in batches if len(b)]
+        if not rows:
+            return
+        rows = pd.concat(rows, ignore_index=True)
+        odds = rows["odds"].to_numpy(float)
+        ends = [pd.factorize(rows[c])[0] for c in ("a", "b")]
+        said = [np.ones(len(rows)), np.ones(len(rows))]
+        for _ in range(most_rounds):
+            moved = 0.0
+            for me in (0, 1):
+                heard = odds * said[1 - me]
+                rest = np.maximum(0.0, np.bincount(ends[me], heard)[ends[me]] - heard)
+                now = damping * said[me] + (1 - damping) / (1 + rest)
+                moved = max(moved, np.abs(np.log(now / said[me])).max())
+                said[me] = now
+            if moved < settled:
+                break
+        else:
+            raise RuntimeError("the messages did not settle")
+        yield rows[["a", "b", "odds"]].assign(from_a=said[0], from_b=said[1])
+
+    return run
+
+
+def _settle_by_joins(state: DataFrame, most_rounds: int, settled: float, damping: float) -> DataFrame:
+    for _ in range(most_rounds):
+        # the odds that reach each side exclude what that side itself said; one side speaks after the other, which settles sooner
+        state = state.withColumns({"was_a": F.col("from_a"), "was_b": F.col("from_b")})
+        for me, other in (("a", "b"), ("b", "a")):
+            sums = state.groupBy(me).agg(F.sum(F.col("odds") * F.col(f"from_{other}")).alias("all"))
+            rest = F.greatest(F.lit(0.0), F.col("all") - F.col("odds") * F.col(f"from_{other}"))
+            said = damping * F.col(f"from_{me}") + (1 - damping) / (1 + rest)
+            state = written(state.join(sums, me).withColumn(f"from_{me}", said).drop("all"), "messages")
+        moved = state.agg(F.max(F.greatest(*[F.abs(F.log(F.col(f"from_{x}") / F.col(f"was_{x}"))) for x in "ab"]))).first()[0]
+        state = state.drop("was_a", "was_b")
+        if moved is None or moved < settled:
+            return state
+    raise RuntimeError("the messages did not settle")
+
+
+def match_marginals(pairs: DataFrame, most_rounds: int = 20_000, settled: float = 1e-6, damping: float = 0.1, in_one_task: int = IN_ONE_TASK) -> DataFrame:
     """``a, b, confidence`` for candidate pairs ``(a, b, odds)``.
 
     ``odds`` are a pair's prior odds.  An entity's factor allows one pair or
     none: what it tells a pair is 1 / (1 + the others' odds as the other side
-    sees them).  Sums are combined before the shuffle, so an entity with very
-    many candidates is no large group.
+    sees them).  Messages have settled when none moves by ``settled`` in its
+    logarithm, as a strong pair's probability hardly moves while they are far
+    off; an error is raised if they don't.  Connected graphs share no message:
+    each is settled in one task, a larger one than ``in_one_task`` by joins,
+    whose sums are combined before the shuffle, so an entity with very many
+    candidates is no large group.
     """
     ones = F.lit(1.0)
     start = pairs.select("a", "b", "odds", ones.alias("from_a"), ones.alias("from_b"))
@@ -29,23 +86,21 @@ def match_marginals(pairs: DataFrame, most_rounds: int = 20, settled: float = 1e
     rivals_a = pairs.groupBy("a").agg(F.count("*").alias("na"))
     rivals_b = pairs.groupBy("b").agg(F.count("*").alias("nb"))
     start = written(start.join(rivals_a, "a").join(rivals_b, "b").withColumn("rival", (F.col("na") > 1) | (F.col("nb") > 1)), "messages")
-    state = start.filter("rival").select("a", "b", "odds", "from_a", "from_b")
-    belief = lambda: F.col("odds") * F.col("from_a") * F.col("from_b")
-    for _ in range(most_rounds):
-        # the odds that reach each side exclude what that side itself said; one side speaks after the other, which settles sooner
-        state = state.withColumn("was", belief() / (1 + belief()))
-        for me, other in (("a", "b"), ("b", "a")):
-            sums = state.groupBy(me).agg(F.sum(F.col("odds") * F.col(f"from_{other}")).alias("all"))
-            rest = F.greatest(F.lit(0.0), F.col("all") - F.col("odds") * F.col(f"from_{other}"))
-            said = damping * F.col(f"from_{me}") + (1 - damping) / (1 + rest)
-            state = written(state.join(sums, me).withColumn(f"from_{me}", said).drop("all"), "messages")
-        moved = state.agg(F.max(F.abs(belief() / (1 + belief()) - F.col("was")))).first()[0]
-        state = state.drop("was")
-        if moved is None or moved < settled:
-            break
-    state = state.select("a", "b", "odds", "from_a", "from_b")
-    state = state.unionByName(start.filter("not rival").select("a", "b", "odds", "from_a", "from_b"))
-    return state.select("a", "b", (belief() / (1 + belief())).alias("confidence"))
+    rivals = start.filter("rival").select("a", "b", "odds", "from_a", "from_b", F.concat(F.lit("a:"), "a").alias("node"))
+    roots = components(rivals.select(F.col("node").alias("a"), F.concat(F.lit("b:"), "b").alias("b")))
+    state = written(rivals.join(roots, "node").drop("node"), "messages")
+    large = state.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > in_one_task).select("root")
+    small, by_joins = state, None
+    if large.first() is not None:
+        small = state.join(large, "root", "left_anti")
+        by_joins = written(state.join(large, "root", "left_semi").drop("root"), "messages")
+    columns = state.drop("root")
+    out = small.repartition("root").mapInPandas(_settle(most_rounds, settled, damping), columns.schema)
+    if by_joins is not None:
+        out = out.unionByName(_settle_by_joins(by_joins, most_rounds, settled, damping))
+    out = out.unionByName(start.filter("not rival").select(*columns.columns))
+    belief = F.col("odds") * F.col("from_a") * F.col("from_b")
+    return out.select("a", "b", (belief / (1 + belief)).alias("confidence"))
 
 
 def _token(url: Column) -> Column:

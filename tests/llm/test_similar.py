@@ -179,6 +179,22 @@ def test_marginals_with_a_loop_choose_the_assignment(spark):
     assert match_marginals(spark.createDataFrame([], "a string, b string, odds double")).count() == 0
 
 
+@pytest.mark.parametrize("in_one_task", [0, 500_000])
+def test_marginals_of_strong_rivals_settle(spark, in_one_task):
+    strong = float(np.exp(8.7))
+    pairs = [("a", "x", strong), ("a", "y", strong / 2), ("c", "z", 3.0)]
+    got = {(r.a, r.b): r.confidence for r in match_marginals(spark.createDataFrame(pairs, "a string, b string, odds double"), in_one_task=in_one_task).collect()}
+    want = _exact_marginals(pairs)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in want)
+
+
+def test_marginals_that_do_not_settle_fail(spark):
+    pairs = spark.createDataFrame([("a", "x", 6000.0), ("a", "y", 3000.0)], "a string, b string, odds double")
+    for in_one_task in (0, 500_000):
+        with pytest.raises(Exception, match="did not settle"):
+            match_marginals(pairs, most_rounds=2, in_one_task=in_one_task).collect()
+
+
 def test_found_links(spark):
     boards = spark.createDataFrame([(1, "Acmevol Foods", "acmevolfoods"), (2, "Zubolejux", "zubolejuxdental"), (3, None, "x"), (4, "Nobodyhere Media", "nobodyhere")], "board_id long, company string, token string").withColumn("kind", F.lit(1))
     posts = spark.createDataFrame(
