@@ -52,6 +52,29 @@ def run_history(rows: DataFrame, delivered: DataFrame, group: str, key: str, run
     return seen.groupBy(group, key).agg(F.min(run).alias("first_run"), F.max(run).alias("last_run"), F.count("*").alias("runs"), F.coalesce(F.sum("gap"), F.lit(0)).alias("gaps"))
 
 
+def store_over_runs(rows: DataFrame, delivered: DataFrame, runs: DataFrame, group: str, key: str, run: str, day: str, listed: Column, stale_days: int) -> DataFrame:
+    """``group, key, first_seen, last_seen, closed_at, reopened``: the store after all ``runs`` (``run, day``), as merging and closing run by run leave it.
+
+    Rows count in runs that their group ``delivered`` (``group, run``).  Where
+    ``listed`` says that the source lists all it has, a row closes at its
+    group's next delivered run without it; else at the first run of any group
+    more than ``stale_days`` after it was last seen.  A closed row that comes
+    back is open again; ``reopened`` counts how often.
+    """
+    days = runs.select(run, day).dropna().groupBy(run).agg(F.max(day).alias("d"))
+    later = days.select(F.col("d").alias("later"))
+    # one row a run: a short table
+    aged = days.join(F.broadcast(later), F.col("later") > F.date_add("d", stale_days), "left").groupBy(run, "d").agg(F.min("later").alias("aged"))
+    well = delivered.select(group, run).dropna().distinct().join(F.broadcast(aged), run)
+    well = well.withColumn("next", F.lead("d").over(Window.partitionBy(group).orderBy(run)))
+    seen = rows.select(group, key, run).dropna().distinct().join(well, [group, run])
+    seen = seen.withColumn("closes", F.when(listed, F.col("next")).otherwise(F.col("aged")))
+    seen = seen.withColumn("again", F.lead("d").over(Window.partitionBy(group, key).orderBy(run)))
+    return seen.groupBy(group, key).agg(
+        F.min("d").alias("first_seen"), F.max("d").alias("last_seen"), F.max_by("closes", run).alias("closed_at"), F.count_if(F.coalesce(F.col("closes") < F.col("again"), F.lit(False))).alias("reopened")
+    )
+
+
 def cards(rows: DataFrame, key: str, ident: str, order: Sequence[Column], seen: Column, also: Column) -> DataFrame:
     """A card per key: the least ``ident`` in ``order`` is its face; first and last time, count, and the others' ``also`` in order.
 

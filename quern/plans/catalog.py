@@ -407,7 +407,7 @@ def listing_history(spark, folder):
 SELECT coalesce(o.b, n.b) AS board, coalesce(o.k, n.k) AS external_id, CASE WHEN o.k IS NULL THEN 2 ELSE 1 END AS first_seen, CASE WHEN n.k IS NULL THEN 1 ELSE 2 END AS last_seen,
   CASE WHEN n.k IS NULL AND o.b NOT LIKE 'workday:%' AND o.b IN (SELECT b FROM well) THEN 2 END AS closed_at FROM old o FULL JOIN new n ON o.b = n.b AND o.k = n.k""")
 def store_after_run(spark, folder):
-    """The store of run 1 after run 2: new rows merged, missing ones closed where their board delivered and lists all it has."""
+    """The store of run 1 after run 2 alone (`store_after_runs` takes all runs): new rows merged, missing ones closed where their board delivered and lists all it has."""
     rows, ok = _seen(spark, folder)
     seen = rows.join(ok, ["board", "run_no"], "left_semi").distinct().withColumn("id", F.concat_ws("\n", "board", "external_id"))
     held = seen.filter("run_no = 1").select("id", "board", "external_id", F.lit(1).alias("first_seen"), F.lit(1).alias("last_seen"), F.lit(None).cast("int").alias("closed_at"))
@@ -417,6 +417,18 @@ def store_after_run(spark, folder):
     return closed.select("board", "external_id", "first_seen", "last_seen", "closed_at")
 
 
+#: A board that is searched rather than listed: its postings age out this many days after they were last seen.
+STALE_DAYS = 21
+
+
+@query()
+def store_after_runs(spark, folder):
+    """The store after all runs in order: what is missing closes, by age where a board is only searched, and opens again when it returns."""
+    rows, ok = _seen(spark, folder)
+    runs = table(spark, folder, "run_reports").select("run_no", "run_date")
+    return listing.store_over_runs(rows, ok, runs, "board", "external_id", "run_no", "run_date", ~F.startswith("board", F.lit("workday:")), STALE_DAYS)
+
+
 @query()
 def closed_counts_checked(spark, folder):
     """Reported against derived numbers of removed postings, of each delivered run of a board."""

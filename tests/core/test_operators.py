@@ -1,4 +1,6 @@
+import datetime
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from quern.functions import text as tx
 from quern.functions.udf import flat_text, token_set_ratio
 from quern.operators import dedupe, employers as em, lexicon, listing
 from quern.operators.components import components
+from quern.plans import catalog
 from quern.sources import landed, store
 
 
@@ -124,6 +127,49 @@ def test_store_life(spark):
     assert {r.id for r in stale.filter("closed_at is not null").collect()} == {"b", "c"}
 
 
+def _folded(rows, ok, days, stale):
+    """The store by merging and closing run by run."""
+    store, reopened = {}, {}
+    for r in sorted(days):
+        fetched = {(g, k) for g, k, n in rows if n == r and (g, r) in ok and k is not None}
+        for i in fetched:
+            first, _, closed = store.get(i, (days[r], None, None))
+            reopened[i] = reopened.get(i, 0) + (closed is not None)
+            store[i] = (first, days[r], None)
+        for i, (first, last, closed) in store.items():
+            gone = last < days[r] - datetime.timedelta(stale) if i[0].startswith("workday:") else (i[0], r) in ok
+            if i not in fetched and closed is None and gone:
+                store[i] = (first, last, days[r])
+    return {(*i, *v, reopened[i]) for i, v in store.items()}
+
+
+def test_store_over_runs_equals_folding(spark):
+    rng = random.Random(6)
+    boards = ("lever:a", "ashby:b", "workday:c", "workday:d")
+    days = {r: datetime.date(2026, 3, 2) + datetime.timedelta(7 * r) for r in range(1, 13)}
+    ok = {(g, r) for g in boards for r in days if rng.random() < 0.8}
+    rows = [(g, f"k{k}", r) for g in boards for k in range(40) for r in days if rng.random() < (0.1, 0.3, 0.7)[k % 3]]
+    rows += rows[:50] + [(None, "k1", 1), ("lever:a", None, 1)]
+    df = spark.createDataFrame(rows, "g string, k string, r int")
+    well = spark.createDataFrame(sorted(ok), "g string, r int")
+    runs = spark.createDataFrame([*days.items(), *days.items()], "r int, d date")
+    got = [tuple(x) for x in listing.store_over_runs(df, well, runs, "g", "k", "r", "d", ~F.startswith("g", F.lit("workday:")), 21).collect()]
+    want = _folded(rows, ok, days, 21)
+    assert len(got) == len(want) and set(got) == want
+    assert {x[0].split(":")[0] for x in want if x[4] is not None} == {x[0].split(":")[0] for x in want if x[5]} == {"lever", "ashby", "workday"}
+
+
+def test_store_after_runs_takes_all_runs(spark):
+    folder = "/root/testdata/sf0.01"
+    r = spark.read.parquet(f"{folder}/run_reports.parquet").collect()
+    s = spark.read.parquet(f"{folder}/posting_snapshots.parquet").select("source", "token", "site", "external_id", "run_no").collect()
+    rows = {(":".join(p.strip().lower() for p in (x.source, x.token, x.site) if p and p.strip()), x.external_id.strip(" ") if x.external_id is not None else None, x.run_no) for x in s}
+    want = _folded(rows, {(x.board_key.lower(), x.run_no) for x in r if x.status == "ok"}, {x.run_no: x.run_date for x in r}, 21)
+    got = [tuple(x) for x in catalog.QUERIES["store_after_runs"](spark, folder).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert any(x[5] for x in want) and any(x[0].startswith("workday:") and x[4] for x in want)
+
+
 def test_lexicon(spark):
     lex = [("SQL", ["sql"], 3), ("R", ["r"], 1), ("C++", ["c++"], 2)]
     got = one(spark, lambda t: lexicon.terms_in(F.lower(t), lex), "Our SQL, C++ and postgresql")
