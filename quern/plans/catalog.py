@@ -221,12 +221,19 @@ SELECT posting_id, CASE WHEN regexp_matches(low, '^remote\\b') THEN 'remote-us'
   WHEN (SELECT count(*) FROM st WHERE starts_with(rest, name)) > 0 THEN city || '|' || (SELECT arg_max(code, length(name)) FROM st WHERE starts_with(rest, name))
   ELSE low END AS place FROM x""")
 def place_keys(spark, folder):
-    """Places of the postings that name just one, without any delimiter."""
+    """Places of the postings whose location has no delimiter, quote or apostrophe; `place_values` has those of all."""
     rows = table(spark, folder, "postings_raw").select("posting_id", "location_raw").distinct()
     rows = rows.filter(F.col("location_raw").isNotNull() & ~F.col("location_raw").rlike(r"[;|/·•&+\"'\t\n\r]| and | or |,.*,"))
     return rows.select("posting_id", tx.place_key(F.col("location_raw")).alias("place"))
 
 
+@query()
+def place_values(spark, folder):
+    """Every place of every posting, with packed places taken apart; a posting without any place has no row."""
+    rows = table(spark, folder, "postings_raw").select("posting_id", "location_raw").distinct()
+    return split_packed(rows, "location_raw").select("posting_id", "pos", "item", tx.place_key(F.col("item")).alias("place"))
+
+
 @query()
 def places_by_state(spark, folder):
     """How many postings name a place of each state, with packed places taken apart."""
