@@ -296,11 +296,12 @@ _SQL_SKILL = "d AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS
 
 @query(f"WITH {_SQL_SKILL} SELECT doc_id, coalesce(string_agg(canonical, '; ' ORDER BY skill_id), '') AS names, coalesce(sum(weight), 0)::BIGINT AS weight FROM d LEFT JOIN h USING (doc_id) GROUP BY doc_id")
 def skills_in_texts(spark, folder):
-    """Skills that a text has by their canonical names."""
-    lex = [(n, [n], w) for n, _, w in _skill_lexicon(spark, folder)]
+    """Skills that a text has by any of their forms.  The SQL knows canonical names alone, which says the same where no text has just an alias."""
+    lex = _skill_lexicon(spark, folder)
     # in lower case once, not for each term
     rows = spread_out(table(spark, folder, "documents").filter("text is not null").select("doc_id", "text")).select("doc_id", F.lower("text").alias("low"))
-    rows = rows.select("doc_id", lexicon.terms_in(F.col("low"), lex).alias("x"))
+    rows = rows.withColumn("words", lexicon.words_of(F.col("low"), lex))
+    rows = rows.select("doc_id", lexicon.terms_in(F.col("low"), lex, F.col("words")).alias("x"))
     return rows.select("doc_id", F.array_join("x.names", "; ").alias("names"), F.col("x.weight").cast("long").alias("weight"))
 
 

@@ -179,6 +179,20 @@ def test_lexicon(spark):
     assert one(spark, lambda t: lexicon.term_hits(t, ["sql"]), None) == 0
 
 
+def test_words_first_finds_the_same_terms(spark):
+    lex = [("SQL", ["sql", "my-sql server"], 3), ("R", ["r"], 1), ("C++", ["c++", "++"], 2)]
+    for text in ("Our SQL, C++ and postgresql", "a ++ b", "(R)", "My-SQL Server", "mysql serverr", "", "é-r-é"):
+        both = [one(spark, f, text) for f in (lambda t: lexicon.terms_in(F.lower(t), lex), lambda t: lexicon.terms_in(F.lower(t), lex, lexicon.words_of(F.lower(t), lex)))]
+        assert both[0] == both[1]
+
+
+def test_skills_in_texts_by_alias(spark, tmp_path):
+    spark.createDataFrame([(1, "Quillbase", 'quill.base|"quillbase & quilkit"', 3), (2, "Cobaltrank", None, 2)], "skill_id int, canonical string, aliases string, weight int").write.parquet(f"{tmp_path}/skills.parquet")
+    spark.createDataFrame([(1, "knows Quill.Base"), (2, "cobaltrank and QUILLBASE"), (3, "quillxbase")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.names, r.weight) for r in catalog.QUERIES["skills_in_texts"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("Quillbase", 3), 2: ("Quillbase; Cobaltrank", 5), 3: ("", 0)}
+
+
 def test_landed_payloads(spark):
     def land(body):
         return spark.createDataFrame([("tok", "Acme", json.dumps(body)), ("bad", "B", "not json")], landed.LANDED)
