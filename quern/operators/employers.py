@@ -97,10 +97,11 @@ def block_pairs(names: DataFrame, employers: DataFrame) -> DataFrame:
     return left.join(right, "b").select("norm", "candidate").distinct()
 
 
-def match_names(names: DataFrame, employers: DataFrame, accept: int = 88, margin: int = 3, shortest: int = 5, top: int = 8) -> DataFrame:
+def match_names(names: DataFrame, employers: DataFrame, accept: int = 88, margin: int = 3, shortest: int = 5, top: int = 8, aliases: DataFrame | None = None) -> DataFrame:
     """``norm, method, score, names``: each name's employers, or why there are none.
 
-    In order: an equal name; for names of fewer than ``shortest`` letters the
+    In order: an equal name; the employer that ``aliases`` (``norm, alias``, both
+    brought to keys; the greatest of several) names, if there is one; for names of fewer than ``shortest`` letters the
     one employer of at most two words that starts with it; the best of the
     blocked candidates by word-set similarity.  Candidates within ``margin`` of
     the best are one employer if they share a stem that says something, else
@@ -114,6 +115,11 @@ def match_names(names: DataFrame, employers: DataFrame, accept: int = 88, margin
     right = employers.select(F.col("norm_name").alias("candidate")).distinct()
     exact = left.join(right, left["norm"] == right["candidate"]).select("norm", F.lit("exact").alias("method"), F.lit(100).alias("score"), F.array("candidate").alias("names"))
     rest = left.join(exact, "norm", "left_anti")
+    if aliases is not None:
+        said = aliases.filter("norm <> ''").groupBy("norm").agg(F.max("alias").alias("candidate"))
+        by_alias = rest.join(said, "norm").join(right, "candidate").select("norm", F.lit("alias").alias("method"), F.lit(100).alias("score"), F.array("candidate").alias("names"))
+        rest = rest.join(by_alias.select("norm"), "norm", "left_anti")
+        exact = exact.unionByName(by_alias)
     brief = F.length(F.replace(F.col("norm"), F.lit(" "), F.lit(""))) < shortest
     heads = right.select("candidate", F.split("candidate", " ").alias("w")).filter(F.size("w") <= 2).select("candidate", F.col("w")[0].alias("norm"))
     short = rest.filter(brief).join(heads, "norm", "left").groupBy("norm").agg(F.count("candidate").alias("n"), F.min("candidate").alias("c"))

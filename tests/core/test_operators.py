@@ -112,6 +112,14 @@ def test_match_names(spark):
     assert got["ABC"] == ("too-short", [])
 
 
+def test_match_names_by_alias(spark):
+    e = spark.createDataFrame([(n,) for n in ("ACME DATA", "CALM COM", "BLUE LAKE FOODS", "BLUE LAKE FARMS", "ORCHARD HOLDINGS")], "norm_name string")
+    n = spark.createDataFrame([(x,) for x in ("ACME DATA", "CALM", "BLUE LAKE", "PEAR", "FIG WORKS")], "norm string")
+    a = spark.createDataFrame([("ACME DATA", "CALM COM"), ("CALM", "ORCHARD HOLDINGS"), ("BLUE LAKE", "BLUE LAKE FARMS"), ("PEAR", "ORCHARD HOLDINGS"), ("FIG WORKS", "NO SUCH"), ("", "CALM COM")], "norm string, alias string")
+    got = {r.norm: (r.method, r.names) for r in em.match_names(n, e, aliases=a).collect()}
+    assert got == {"ACME DATA": ("exact", ["ACME DATA"]), "CALM": ("alias", ["ORCHARD HOLDINGS"]), "BLUE LAKE": ("alias", ["BLUE LAKE FARMS"]), "PEAR": ("alias", ["ORCHARD HOLDINGS"]), "FIG WORKS": ("none", [])}
+
+
 def test_store_life(spark):
     held = spark.createDataFrame([("a", "b1", 1, 1, None), ("b", "b1", 1, 1, None), ("c", "b2", 1, 1, None), ("d", "b1", 1, 1, 1)], "id string, g string, first_seen int, last_seen int, closed_at int")
     fresh = spark.createDataFrame([("a", "b1"), ("d", "b1"), ("e", "b1")], "id string, g string")
