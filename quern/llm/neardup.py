@@ -212,15 +212,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, least_words: int = 1, hot: int = 5000) -> DataFrame:
-    """``id, text_class, links``: the class of every document's text.
+    """``id, text_class, spanning_links``: the class of every document's text.
 
     ``docs`` has ``id, head, markup, plain``: the text is the head followed by
     what is visible of the markup, or by the plain text where that is null.  Two
     texts are linked if at least ``threshold`` of the distinct sequences of
     ``size`` words of either occur in both; classes are closed under links.
     ``text_class`` is a fingerprint, null for texts of fewer than
-    ``least_words`` words; equal texts always share it.  ``links`` is the number
-    of verified links of the document's text to other texts.
+    ``least_words`` words; equal texts always share it.
+    ``spanning_links`` is the number of verified links of the document's text
+    among those that were compared, which span the classes: not of all similar
+    texts, as pairs that a class already connects are skipped.
 
     Each band first compares its texts with the least of them; where one isn't
     similar, those of its pairs that no class connects yet are compared too.  So
@@ -262,7 +264,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, leas
     roots = components(links)
     ends = links.select(F.col("a").alias("fp")).union(links.select("b")).groupBy("fp").agg(F.count("*").alias("links"))
     out = ids.join(roots.withColumnRenamed("node", "fp"), "fp", "left").join(ends, "fp", "left")
-    return out.select("id", F.coalesce("root", "fp").alias("text_class"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return out.select("id", F.coalesce("root", "fp").alias("text_class"), F.coalesce("links", F.lit(0)).cast("long").alias("spanning_links"))
 
 
 _DESCRIPTION_WORDS, _SEQUENCE, _SHARE = 40, 3, 0.7

@@ -86,6 +86,15 @@ def test_near_duplicates_equal_brute_force(spark, hot):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_spanning_links_connect_a_class(spark):
+    base = [f"w{i}" for i in range(200)]
+    docs = [(i, "head", None, " ".join([*base, f"x{i}"])) for i in range(6)]
+    got = near_duplicates(spark.createDataFrame(docs, "id long, head string, markup string, plain string"), 3, 0.75, 40).collect()
+    assert len({r.text_class for r in got}) == 1
+    # each at least one, and together at least what a tree has
+    assert all(r.spanning_links >= 1 for r in got) and sum(r.spanning_links for r in got) >= 2 * 5
+
+
 def test_found_duplicates(spark):
     long = " ".join(f"w{i}" for i in range(80))
     posts = [(1, "T", f"<p>{long}</p>", None, "https://a.example/x/jobs/1"), (2, "T", None, long + " more", "https://a.example/x/jobs/2"), (3, "T", "<p>short</p>", None, "https://a.example/x/jobs/3"), (1, "T", f"<p>{long}</p>", None, "https://a.example/x/jobs/1"), (4, None, None, None, None)]
