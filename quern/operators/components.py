@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from quern.session import written
+from quern.session import counted, forget, written
 
 
 #: Up to so many links one task unites them in memory; more take rounds of joins.  The result is the same.
@@ -46,8 +46,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     """
     x, y = F.col(a), F.col(b)
     stars = links.filter(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
-    stars = written(stars, "links")
-    if stars.count() <= in_one_task:
+    stars, n = counted(stars, "links")
+    if n <= in_one_task:
         kind = stars.schema["a"].dataType.simpleString()
         return stars.coalesce(1).mapInPandas(_unite, f"node {kind}, root {kind}")
     before = None
@@ -59,7 +59,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         # small stars: the smaller neighbours and the node itself to the least of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("n"), "m").unionByName(least.select(F.col("a").alias("n"), "m"))
-        stars = written(small.filter("n <> m").select(F.col("n").alias("a"), F.col("m").alias("b")).distinct(), "links")
+        held, stars = stars, written(small.filter("n <> m").select(F.col("n").alias("a"), F.col("m").alias("b")).distinct(), "links")
+        forget(held)
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
