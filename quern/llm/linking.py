@@ -1,37 +1,42 @@
 """Matching entities of two sources that share no key.
 
-Each side is resolved into entities first.  Candidate pairs come from blocking;
-several partial attributes give each a prior.  As an entity has at most one
-counterpart, the pairs are a graph with a factor around each entity; loopy
-belief propagation passes messages over it until they settle, and yields each
-pair's marginal probability of being a match.
+Both sides are resolved into entities first, in one pass with the side in the
+key.  Candidate pairs come from blocking on names alone, so an entity meets
+rivals of its name in other trades and states.  How a pair agrees in name,
+trade, legal form and state is a pattern; the rates at which matches and others
+show each agreement are fitted from the counts of all patterns, and give each
+pair its prior odds.  As an entity has at most one counterpart, the pairs are a
+graph with a factor around each entity; loopy belief propagation passes messages
+over it until they settle, and yields each pair's marginal probability of being
+a match.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from quern.llm.names import TRADES, name_nodes, name_records, resolve, without_one
+from quern.llm.names import TRADES, edits, name_nodes, name_records, resolve, without_one, without_two
 from quern.operators.components import components
-from quern.session import written
+from quern.session import counted, written
 
 
 #: Pairs of a connected graph of up to so many are settled in one task in memory; a larger graph takes rounds of joins.  The result is the same.
 IN_ONE_TASK = 500_000
 
 
+#: Rows that a task settles together; it takes whole graphs, one after another.
+AT_ONCE = 100_000
+
+
 def _settle(most_rounds: int, settled: float, damping: float):
-    """Messages of whole connected graphs in memory, by the updates of ``match_marginals``."""
+    """Messages of whole connected graphs in memory, by the updates of ``match_marginals``; the graphs of a task come in the order of their roots."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [b for b in batches if len(b)]
-        if not rows:
-            return
-        rows = pd.concat(rows, ignore_index=True)
+    def whole(rows: pd.DataFrame) -> pd.DataFrame:
         odds = rows["odds"].to_numpy(float)
         ends = [pd.factorize(rows[c])[0] for c in ("a", "b")]
         said = [np.ones(len(rows)), np.ones(len(rows))]
@@ -47,7 +52,21 @@ def _settle(most_rounds: int, settled: float, damping: float):
                 break
         else:
             raise RuntimeError("the messages did not settle")
-        yield rows[["a", "b", "odds"]].assign(from_a=said[0], from_b=said[1])
+        return rows[["a", "b", "odds"]].assign(from_a=said[0], from_b=said[1])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= AT_ONCE:
+                rows = pd.concat(held, ignore_index=True)
+                going_on = rows["root"] == rows["root"].iloc[-1]
+                if not going_on.all():
+                    yield whole(rows[~going_on])
+                held, n = [rows[going_on]], int(going_on.sum())
+        if n:
+            yield whole(pd.concat(held, ignore_index=True))
 
     return run
 
@@ -80,25 +99,21 @@ def match_marginals(pairs: DataFrame, most_rounds: int = 20_000, settled: float
     whose sums are combined before the shuffle, so an entity with very many
     candidates is no large group.
     """
-    ones = F.lit(1.0)
-    start = pairs.select("a", "b", "odds", ones.alias("from_a"), ones.alias("from_b"))
-    # a pair without rivals on either side has its answer; messages are for the others
-    rivals_a = pairs.groupBy("a").agg(F.count("*").alias("na"))
-    rivals_b = pairs.groupBy("b").agg(F.count("*").alias("nb"))
-    start = written(start.join(rivals_a, "a").join(rivals_b, "b").withColumn("rival", (F.col("na") > 1) | (F.col("nb") > 1)), "messages")
-    rivals = start.filter("rival").select("a", "b", "odds", "from_a", "from_b", F.concat(F.lit("a:"), "a").alias("node"))
-    roots = components(rivals.select(F.col("node").alias("a"), F.concat(F.lit("b:"), "b").alias("b")))
-    state = written(rivals.join(roots, "node").drop("node"), "messages")
-    large = state.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > in_one_task).select("root")
-    small, by_joins = state, None
-    if large.first() is not None:
-        small = state.join(large, "root", "left_anti")
-        by_joins = written(state.join(large, "root", "left_semi").drop("root"), "messages")
-    columns = state.drop("root")
-    out = small.repartition("root").mapInPandas(_settle(most_rounds, settled, damping), columns.schema)
+    state, n = counted(pairs.select("a", "b", "odds"), "messages")
+    roots = components(state.select(F.concat(F.lit("a:"), "a").alias("a"), F.concat(F.lit("b:"), "b").alias("b")))
+    state = state.withColumn("node", F.concat(F.lit("a:"), "a")).join(roots, "node").drop("node")
+    out, by_joins = state, None
+    if n > in_one_task:  # else no graph can have more
+        state = written(state, "graphs")
+        large = state.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > in_one_task).select("root")
+        out = state.join(large, "root", "left_anti")
+        by_joins, held = counted(state.join(large, "root", "left_semi").select("a", "b", "odds", F.lit(1.0).alias("from_a"), F.lit(1.0).alias("from_b")), "messages")
+        by_joins = by_joins if held else None
+    kind = state.schema["a"].dataType.simpleString()
+    out = out.select("a", "b", "odds", "root").repartition("root").sortWithinPartitions("root")
+    out = out.mapInPandas(_settle(most_rounds, settled, damping), f"a {kind}, b {kind}, odds double, from_a double, from_b double")
     if by_joins is not None:
         out = out.unionByName(_settle_by_joins(by_joins, most_rounds, settled, damping))
-    out = out.unionByName(start.filter("not rival").select(*columns.columns))
     belief = F.col("odds") * F.col("from_a") * F.col("from_b")
     return out.select("a", "b", (belief / (1 + belief)).alias("confidence"))
 
@@ -112,7 +127,7 @@ def _token(url: Column) -> Column:
 
 def _after(token: Column, proper: Column) -> Column:
     """The letters that a token has after the proper name."""
-    return F.when(F.startswith(token, F.lower(proper)), F.regexp_extract(F.substring(token, F.length(proper) + 1, F.lit(99)), "^[a-z]+", 0))
+    return F.when(F.startswith(token, F.lower(proper)), F.regexp_extract(F.substring(token, F.length(proper) + 1, F.length(token)), "^[a-z]+", 0))
 
 
 def _trade_in(letters: Column) -> Column:
@@ -124,8 +139,46 @@ def _states(text: Column) -> Column:
     return F.array_distinct(F.filter(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\b([A-Z]{2})\b"), 1), lambda s: ~s.isin("US", "HQ", "EU")))
 
 
-def _entities(read: DataFrame) -> DataFrame:
-    return resolve(name_records(read))
+#: How a pair may agree: in name by edits, and in trade, legal form and state: both say the same, one side or both say nothing, they differ.
+LEVELS = {"name": ("same", "one", "two"), "trade": ("same", "silent", "one", "differ"), "form": ("same", "one", "differ"), "state": ("same", "one", "differ")}
+
+#: Where the fit starts, as rates among matches and among others, and how many pairs of each these stand for, so that few pairs leave them nearly as they are.
+START = {
+    "name": ((0.88, 0.1, 0.02), (0.4, 0.3, 0.3)),
+    "trade": ((0.7, 0.1, 0.19999, 0.00001), (0.02, 0.05, 0.23, 0.7)),
+    "form": ((0.5, 0.4, 0.1), (0.25, 0.4, 0.35)),
+    "state": ((0.6, 0.2, 0.2), (0.35, 0.2, 0.45)),
+}
+STANDS_FOR = 200.0
+
+
+def fit_log_odds(counts: dict[tuple[str, ...], int], rounds: int = 2000, settled: float = 1e-9) -> dict[tuple[str, ...], float]:
+    """The log odds of a match for every pattern of agreement, by expectation and maximisation over the patterns' counts.
+
+    Agreements count as independent among matches and among others.  Patterns
+    are in the order of ``LEVELS``; there is no more of them than combinations of
+    levels, however many pairs.
+    """
+    fields = list(LEVELS)
+    every = list(itertools.product(*LEVELS.values()))
+    n = np.array([counts.get(p, 0) for p in every], dtype=float)
+    at = np.array([[LEVELS[f].index(x) for f, x in zip(fields, p)] for p in every])
+    start = [np.array([START[f][side] for side in (0, 1)]) for f in fields]
+    rates, share, odds = [r.copy() for r in start], 0.5, np.zeros(len(every))
+    for _ in range(rounds):
+        now = np.log(share / (1 - share)) + sum(np.log(r[0][at[:, i]] / r[1][at[:, i]]) for i, r in enumerate(rates))
+        moved, odds = np.abs(now - odds).max(), now
+        if moved < settled:
+            break
+        match = 1 / (1 + np.exp(-odds))
+        for i, r in enumerate(rates):
+            for side, weight in ((0, n * match), (1, n * (1 - match))):
+                seen = np.bincount(at[:, i], weight, minlength=r.shape[1]) + STANDS_FOR * start[i][side]
+                r[side] = seen / seen.sum()
+        share = (float((n * match).sum()) + STANDS_FOR / 2) / (n.sum() + STANDS_FOR)
+    else:
+        raise RuntimeError("the rates did not settle")
+    return dict(zip(every, odds.tolist()))
 
 
 def entity_links(boards: DataFrame, postings: DataFrame, employers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -139,51 +192,61 @@ def entity_links(boards: DataFrame, postings: DataFrame, employers: DataFrame) -
     rows = boards.select(F.lit("board").alias("kind"), F.col("board_id").alias("record_id"), F.col("company").alias("text"), F.lower("token").alias("token"), F.lit(None).cast("string").alias("place"))
     rows = rows.unionByName(postings.select(F.lit("posting").alias("kind"), F.col("posting_id").alias("record_id"), F.col("company_name").alias("text"), _token(F.col("url")).alias("token"), F.col("location_raw").alias("place")))
     rows = written(rows.filter((F.trim("text") != "") & F.col("record_id").isNotNull()).dropDuplicates(["kind", "record_id", "text"]), "rows")
-    read = written(name_nodes(rows.groupBy("text").agg(F.count("*").alias("weight"))), "left")
+    texts = rows.groupBy("text").agg(F.count("*").alias("l")).join(employers.filter(F.trim("display_name") != "").groupBy(F.col("display_name").alias("text")).agg(F.count("*").alias("r")), "text", "full_outer")
+    read = written(name_nodes(texts.withColumn("weight", F.struct("l", "r"))), "read")
     # the trade that most names of a board with this proper name have
-    here = rows.groupBy("text", "token").agg(F.count("*").alias("n"), F.max((F.col("kind") == "board").cast("int")).alias("own")).join(read, "text")
+    here = rows.groupBy("text", "token").agg(F.count("*").alias("n"), F.max((F.col("kind") == "board").cast("int")).alias("own")).join(read.drop("weight", "node"), "text")
     most = here.filter("trade <> ''").groupBy("token", "proper", "trade").agg((F.sum("n") + 1000 * F.max("own")).alias("n")).groupBy("token", "proper").agg(F.max_by("trade", F.struct("n", "trade")).alias("most"))
     here = here.join(most, ["token", "proper"], "left")
     here = here.withColumn("after", _after(F.col("token"), F.col("proper")))
     bare = (F.col("kind") == "FIRM") & (F.col("trade") == "")
     hint = F.when(F.length("after") >= 3, _trade_in(F.col("after")))
     here = here.withColumn("trade", F.when(bare, F.coalesce(hint, "most", F.lit(""))).otherwise(F.col("trade")))
+    parts = ["text", "token", "kind", "proper", "trade", "legal", "second", "initials"]
+    left = here.select(F.lit("l").alias("scope"), *parts, F.col("n").alias("weight"))
+    right = read.filter("weight.r > 0").withColumn("token", F.lit(None).cast("string")).select(F.lit("r").alias("scope"), *parts, F.col("weight.r").alias("weight"))
     form = F.when((F.col("kind") == "FIRM") & (F.col("trade") == ""), F.col("legal")).otherwise("")
-    here = written(here.withColumn("node", F.concat_ws("|", "kind", "proper", "trade", form, "second")).select("text", "token", "n", "kind", "proper", "trade", "legal", "second", "node"), "here")
-    left = _entities(here.withColumn("weight", F.col("n")))
-    records = rows.join(here.select("text", "token", "node"), ["text", "token"]).join(left, "node").select("kind", "record_id", F.col("root").alias("a"), "place")
-    records = written(records, "records")
-    firms = written(name_nodes(employers.filter(F.trim("display_name") != "").groupBy(F.col("display_name").alias("text")).agg(F.count("*").alias("weight"))), "right")
-    right = _entities(firms)
-    owned = employers.join(firms.select(F.col("text").alias("display_name"), "node"), "display_name").join(right, "node").select("employer_id", F.col("root").alias("b"), "states", (F.coalesce("certified", F.lit(0)) + 1).alias("size"))
-
-    def sides(read: DataFrame, roots: DataFrame) -> DataFrame:
+    named = written(left.unionByName(right).withColumn("node", F.concat_ws("|", "scope", "kind", "proper", "trade", form, "second")), "named")
+    entities = named.join(resolve(name_records(named)), "node")
+    entities = written(entities.select("scope", "root", "text", "token", "kind", "proper", "trade", "legal", "second"), "entities")
+    side = lambda scope, name: entities.filter(F.col("scope") == scope).withColumnRenamed("root", name)
+    records = written(rows.join(side("l", "a").select("text", "token", "a").distinct(), ["text", "token"]).select("kind", "record_id", "a", "place"), "records")
+    owned = employers.join(side("r", "b").select(F.col("text").alias("display_name"), "b").distinct(), "display_name").select("employer_id", "b", "states", (F.coalesce("certified", F.lit(0)) + 1).alias("size"))
+
+    def keys(scope: str, name: str) -> DataFrame:
+        """Blocks of an entity's names: with a letter left out, or two where the trade is given."""
+        names = side(scope, name).select(name, "kind", "trade", F.explode(F.array_distinct(F.array("proper", "second"))).alias("proper")).filter("proper <> ''").distinct()
+        any_ = F.transform(without_one(F.col("proper")), lambda v: F.xxhash64("kind", v))
+        same = F.transform(without_two(F.col("proper")), lambda v: F.xxhash64("kind", "trade", v))
+        parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return names.repartition(parts).select(name, F.col("proper").alias(f"p{name}"), F.explode(F.array_union(any_, same)).alias("key"))
+
+    met = keys("l", "a").join(keys("r", "b"), "key").select("a", "b", "pa", "pb").distinct()
+    near = met.withColumn("edits", edits(F.col("pa"), F.col("pb"))).groupBy("a", "b").agg(F.min("edits").alias("edits")).filter("edits is not null")
+
+    def said(scope: str, name: str) -> DataFrame:
         """What an entity's records say of it."""
-        return read.join(roots, "node").groupBy("root", "kind").agg(F.collect_set("trade").alias("trades"), F.collect_set("legal").alias("forms"))
-
-    names = lambda read, roots, side: (
-        read.select("node", "proper").union(read.filter("second <> ''").select("node", "second")).join(roots, "node").select(F.col("root").alias(side), "proper").distinct()
-    )
-    one = names(here, left, "a").select("a", F.col("proper").alias("pa"), F.explode(without_one(F.col("proper"))).alias("v"))
-    two = names(firms, right, "b").select("b", F.col("proper").alias("pb"), F.explode(without_one(F.col("proper"))).alias("v"))
-    near = written(one.join(two, "v").groupBy("a", "b").agg(F.max((F.col("pa") == F.col("pb")).cast("int")).alias("same")), "candidates")
-    about = near.join(sides(here, left).withColumnsRenamed({"root": "a", "trades": "ta", "forms": "fa"}), "a").join(sides(firms, right).withColumnsRenamed({"root": "b", "trades": "tb", "forms": "fb"}), ["b", "kind"])
+        return side(scope, name).groupBy(name, "kind").agg(F.array_remove(F.collect_set("trade"), "").alias(f"t{name}"), F.array_remove(F.collect_set("legal"), "").alias(f"f{name}"))
+
     area_a = records.select("a", F.explode(_states(F.col("place"))).alias("s")).distinct().groupBy("a").agg(F.collect_set("s").alias("sa"))
     area_b = owned.groupBy("b").agg(F.flatten(F.collect_set(_states(F.col("states")))).alias("sb"), F.sum("size").alias("size"))
-    about = about.join(area_a, "a", "left").join(area_b, "b", "left")
-    known = lambda c: F.filter(c, lambda x: x != "")
-    ta, tb, fa, fb = known("ta"), known("tb"), known("fa"), known("fb")
-    none = F.array().cast("array<string>")
-    shared = F.size(F.array_intersect(F.coalesce("sa", none), F.coalesce("sb", none)))
-    log_odds = (
-        F.when(F.col("same") == 1, 3.0).otherwise(1.0)
-        + F.when((F.size(ta) == 0) & (F.size(tb) == 0), 1.0).when((F.size(ta) == 0) | (F.size(tb) == 0), 0.0).when(F.arrays_overlap(ta, tb), 4.0).otherwise(-9.0)
-        + F.when((F.size(fa) == 0) | (F.size(fb) == 0), 0.0).when(F.arrays_overlap(fa, fb), 1.0).otherwise(-0.5)
-        + F.when(shared > 0, 0.7).otherwise(-0.2)
-        + 0.1 * F.log(F.coalesce("size", F.lit(1)) + 1)
-    )
-    pairs = written(about.select("a", "b", F.exp(log_odds).alias("odds")), "pairs")
-    return match_marginals(pairs), records.select("kind", "record_id", "a").distinct(), owned.select("employer_id", "b").distinct()
+    about = near.join(said("l", "a"), "a").join(said("r", "b"), ["b", "kind"]).join(area_a, "a", "left").join(area_b, "b", "left")
+
+    def level(x: str, y: str, silent: bool = False) -> Column:
+        x, y = (F.coalesce(c, F.array().cast("array<string>")) for c in (x, y))
+        none = (F.size(x) == 0) | (F.size(y) == 0)
+        first = F.when((F.size(x) == 0) & (F.size(y) == 0), "silent") if silent else F
+        return first.when(none, "one").when(F.arrays_overlap(x, y), "same").otherwise("differ")
+
+    name = F.when(F.col("edits") == 0, "same").when(F.col("edits") == 1, "one").otherwise("two")
+    pattern = F.struct(name.alias("name"), level("ta", "tb", True).alias("trade"), level("fa", "fb").alias("form"), level("sa", "sb").alias("state"))
+    pairs = written(about.select("a", "b", pattern.alias("p"), F.coalesce("size", F.lit(1)).alias("size")), "pairs")
+    # a row for each pattern, of which there are no more than combinations of levels
+    odds = fit_log_odds({tuple(r["p"]): r["n"] for r in pairs.groupBy("p").agg(F.count("*").alias("n")).collect()})
+    fitted = pairs.sparkSession.createDataFrame([(p, x) for p, x in odds.items()], f"p {pairs.schema['p'].dataType.simpleString()}, fitted double")
+    # of rivals that agree alike, the one with more filings is likelier
+    pairs = pairs.join(F.broadcast(fitted), "p").select(F.col("a").cast("string"), F.col("b").cast("string"), F.exp(F.col("fitted") + 0.1 * F.log(F.col("size") + 1)).alias("odds"))
+    return match_marginals(pairs), records.select("kind", "record_id", F.col("a").cast("string").alias("a")).distinct(), owned.select("employer_id", F.col("b").cast("string").alias("b")).distinct()
 
 
 def found_links(boards: DataFrame, postings: DataFrame, employers: DataFrame, least: float = 0.5) -> DataFrame:

@@ -1,27 +1,29 @@
 """Variant spellings of organisations' names, and the entities behind them.
 
 A name is read into its parts: the kind of organisation, the proper name, the
-trade, the legal form and a second name.  Records are then resolved by merging
-and rematching: matched records become one profile with the spellings and names
-of both, and the richer profiles enter blocking again until none merge.
-Blocking is by a spelling with any one letter left out, which any two spellings
-share that differ by a letter more, less or other, or two changed over; with any two
-left out where the trade agrees too.
+trade, the legal form, a second name and its initials.  Records are then
+resolved by merging and rematching: matched records become one profile with the
+spellings, trades and initials of all, and what a profile has anew enters
+blocking again until nothing merges.  Blocking is by a spelling with one letter
+left out, which any two spellings share that differ by a letter more, less or
+other, or two changed over; with two left out where the trade agrees too.  The
+built-in ``levenshtein`` verifies every pair that shares a block.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quern.operators.components import components
-from quern.session import written
+from quern.session import counted, written
 
-# Trades, of which a firm has one, and words that go with any of them.
+# The vocabulary of the names, to be replaced for another domain: trades, of which a firm has one, and words that go with any of them.
 TRADES = (
     "ANALYTICS AVIATION BIOLABS CAPITAL CERAMICS DENTAL ENERGY FOODS FORESTRY FREIGHT HEALTH HOSPITALITY INSURANCE LEARNING "
     "LOGISTICS MAPPING MATERIALS MEDIA OPTICS PAYMENTS RECRUITING ROBOTICS SHIPPING SOFTWARE STAFFING TALENT TEXTILES"
@@ -32,15 +34,14 @@ LEGAL_FORMS = {
     "INC": "INC", "INCORPORATED": "INC", "CORP": "CORP", "CORPORATION": "CORP", "CO": "CO", "COMPANY": "CO", "LTD": "LTD", "LIMITED": "LTD",
     "LLC": "LLC", "LP": "LP", "LLP": "LP", "PLC": "LTD", "GMBH": "LTD",
 }
+# Usual short forms that the rule of `_shortened` doesn't settle.
 SHORT_WORDS = {
-    "ANLYTCS": "ANALYTICS", "AVN": "AVIATION", "CAP": "CAPITAL", "CHILD": "CHILDRENS", "CHILDREN": "CHILDRENS", "COLL": "COLLEGE", "CTR": "CENTER", "CENTRE": "CENTER",
-    "ENGY": "ENERGY", "FRT": "FREIGHT", "GRP": "GROUP", "HLDG": "HOLDINGS", "HLDGS": "HOLDINGS", "HLTH": "HEALTH", "INS": "INSURANCE", "INST": "INSTITUTE",
-    "INSUR": "INSURANCE", "INTL": "INTERNATIONAL", "LAB": "LABORATORIES", "LABS": "LABORATORIES", "LOGIST": "LOGISTICS", "MATLS": "MATERIALS", "MED": "MEDICAL",
-    "NETWKS": "NETWORKS", "PTNRS": "PARTNERS", "SERV": "SERVICES", "SOFTW": "SOFTWARE", "SOL": "SOLUTIONS", "SOLNS": "SOLUTIONS", "ST": "STATE", "SVCS": "SERVICES",
-    "SW": "SOFTWARE", "SYS": "SYSTEMS", "TECH": "TECHNOLOGIES", "TECHS": "TECHNOLOGIES", "UNIV": "UNIVERSITY",
+    "CAP": "CAPITAL", "CHILD": "CHILDRENS", "CHILDREN": "CHILDRENS", "CENTRE": "CENTER", "FRT": "FREIGHT", "INS": "INSURANCE", "INST": "INSTITUTE", "LAB": "LABORATORIES",
+    "LABS": "LABORATORIES", "MED": "MEDICAL", "ST": "STATE", "SERV": "SERVICES", "SVCS": "SERVICES", "SOL": "SOLUTIONS", "SYS": "SYSTEMS", "TECH": "TECHNOLOGIES", "TECHS": "TECHNOLOGIES",
 }
 
 _WORDS = frozenset((*TRADES, *FILLERS, *SCHOOL_WORDS))
+_LONGEST = max(map(len, _WORDS)) + 1  # a typing error may add a letter
 _SMALL = {"THE", "OF", "AND", "AT", "FOR", "US", "USA", "AMERICA", "HQ", "CAREERS", "JOBS"}
 _SECOND = re.compile(r"\s+(?:d/?b/?a|a/?k/?a|t/a|trading as|doing business as|formerly)[:\s]+", re.I)
 _AGENCY = re.compile(r"^\s*(?:on behalf of|client\s*:|for our client\s*:?)\s*", re.I)
@@ -61,6 +62,23 @@ def _typos() -> dict[str, str]:
     return {k: v for k, v in out.items() if v}
 
 
+@lru_cache(200_000)
+def _shortened(token: str) -> str | None:
+    """The one vocabulary word of which a token is the beginning, the beginning and consonants of the rest, or its first letter and consonants."""
+    found = None
+    for w in _WORDS if len(token) > 1 else ():
+        if len(w) < len(token) + 2 or w[0] != token[0]:
+            continue
+        n = len(os.path.commonprefix([token, w]))
+        rest, left = token[n:], iter(w[n:])
+        if (n < 3 and not rest) or set(rest) & set("AEIOU") or not all(c in left for c in rest):
+            continue
+        if found:
+            return None
+        found = w
+    return found
+
+
 @lru_cache(200_000)
 def _word(token: str) -> str | None:
     """The vocabulary word a token stands for."""
@@ -68,6 +86,8 @@ def _word(token: str) -> str | None:
         return token
     if token in SHORT_WORDS:
         return SHORT_WORDS[token]
+    if short := _shortened(token):
+        return short
     if len(token) < 5:
         return None
     for v in sorted(_without_one(token), key=len, reverse=True):
@@ -80,7 +100,7 @@ def _word(token: str) -> str | None:
 @lru_cache(200_000)
 def _ends(token: str) -> tuple[str, str] | None:
     """A proper name and the vocabulary word written onto its end, rather as it stands than with a typing error."""
-    sizes = range(min(len(token) - 4, 14), 3, -1)
+    sizes = range(min(len(token) - 4, _LONGEST), 3, -1)
     for n in sizes:
         word = token[-n:] if token[-n:] in _WORDS else SHORT_WORDS.get(token[-n:])
         if word:
@@ -107,6 +127,7 @@ def read_name(text: str | None) -> tuple[str, str, str, str, str]:
     plain = re.sub(r"['’`]", "", plain)
     plain = re.sub(r"\bL\.? ?L\.? ?C\b\.?", "LLC", re.sub(r"\bL\.? ?P\b\.?", "LP", re.sub(r"\bU\.? ?S\.?(?: ?A\b\.?)?(?=\W|$)", "USA", plain)))
     plain = re.sub(r"\bLIMITED LIABILITY (?:COMPANY|CO)\b", "LLC", re.sub(r"\bLIMITED PARTNERSHIP\b", "LP", plain))
+    plain = re.sub(r"\bU\b\.?(?=\s+OF\b)", "UNIVERSITY", plain)
     whole = [_word(t) for t in re.findall(r"[A-Z0-9]+", plain)]
     school = any(w in SCHOOL_WORDS and w not in ("STATE", "CENTER") for w in whole) or any((e := _ends(t)) and e[1] in ("UNIVERSITY", "COLLEGE", "HOSPITAL", "INSTITUTE", "TECHNOLOGY") for t in re.findall(r"[A-Z0-9]+", plain))
     plain = re.sub(r"\([^)]*\)", " ", plain)
@@ -141,6 +162,9 @@ def read_name(text: str | None) -> tuple[str, str, str, str, str]:
             kinds.add("TECHNOLOGY")
     if school and {"HOSP"} & set(re.findall(r"[A-Z]+", plain)):
         kinds.add("HOSPITAL")
+    if not proper:
+        # what was taken for a short form is the name where there is no other
+        proper = [t for t in re.findall(r"[A-Z0-9]+", plain) if t not in _WORDS and t not in SHORT_WORDS and t not in LEGAL_FORMS and _shortened(t)]
     name = "".join(proper)
     if not school and "HOSP" in proper:
         proper.remove("HOSP")
@@ -156,77 +180,159 @@ def read_name(text: str | None) -> tuple[str, str, str, str, str]:
     return " ".join(sorted(kinds)), name, "", "", second
 
 
-PARTS = "struct<kind:string,proper:string,trade:string,legal:string,second:string>"
+def initials_of(text: str | None) -> str:
+    """The first letters of a name's words, the proper ones first for a firm; of a text that is nothing but initials, '=' and these; empty if fewer than two."""
+    if not text or not text.strip():
+        return ""
+    plain = _SECOND.split(_AGENCY.sub("", text), maxsplit=1)[0]
+    plain = re.sub(r"\([^)]*\)|\s[-–]\s.*$", " ", plain)
+    tokens = [t for t in re.findall(r"[^\W_]+", plain.replace(".", "") if re.search(r"\b(?:[A-Z]\.){2,}", plain) else plain) if t.upper() not in LEGAL_FORMS]
+    if len(tokens) == 1 and re.fullmatch(r"[A-Z]{2,5}", tokens[0]):
+        return "=" + tokens[0]
+    known = [_word(t.upper()) for t in tokens]
+    words = [t.upper() for t in tokens if t.upper() not in _SMALL]
+    if not any(w in SCHOOL_WORDS for w in known):
+        words.sort(key=lambda t: _word(t) is not None)
+    return "".join(t[0] for t in words) if len(words) > 1 else ""
+
+
+PARTS = "struct<kind:string,proper:string,trade:string,legal:string,second:string,initials:string>"
 
 
 def name_parts(text: Column) -> Column:
-    """The parts of a name, by ``read_name``."""
+    """The parts of a name, by ``read_name`` and ``initials_of``."""
 
     @F.pandas_udf(PARTS)
     def read(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([read_name(x) for x in texts], columns=["kind", "proper", "trade", "legal", "second"], dtype=object)
+        return pd.DataFrame([(*read_name(x), initials_of(x)) for x in texts], columns=["kind", "proper", "trade", "legal", "second", "initials"], dtype=object)
 
     return read(text)
 
 
+#: Letters from which a spelling may differ by one edit, and by two; in a shorter name an edit makes another name.
+ONE_FROM, TWO_FROM = 6, 9
+
+
 def without_one(word: Column) -> Column:
     """A word and what is left of it without any one letter; short words as they are."""
     n = F.length(word)
     less = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, n)))
-    return F.when(n >= 6, F.array_distinct(F.concat(F.array(word), less))).otherwise(F.array(word))
+    return F.when(n >= ONE_FROM, F.array_distinct(F.concat(F.array(word), less))).otherwise(F.array(word))
 
 
 def without_two(word: Column) -> Column:
-    """The same for up to two letters of words of nine or more; two spellings of one name that isn't on file share one."""
-    less = F.when(F.length(word) >= 9, F.flatten(F.transform(without_one(word), without_one))).otherwise(without_one(word))
+    """The same for up to two letters of long words; two spellings of one name that isn't on file share one."""
+    less = F.when(F.length(word) >= TWO_FROM, F.flatten(F.transform(without_one(word), without_one))).otherwise(without_one(word))
     return F.array_distinct(less)
 
 
-def _stars(keyed: DataFrame) -> DataFrame:
-    """Links ``a, b`` of all nodes of a ``key`` to the least of them."""
-    keyed = keyed.select("key", "node").distinct()
-    least = keyed.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1").select("key", "b")
-    return keyed.join(least, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+def edits(a: Column, b: Column) -> Column:
+    """Edits between two spellings, two letters changed over counting as one: 0, 1, 2, or null for more."""
+    d = F.levenshtein(a, b, 4)
+    letters = lambda x: F.array_join(F.array_sort(F.split(x, "")), "")
+    bag = F.levenshtein(letters(a), letters(b), 2)
+    return F.when(d <= 1, d).when((d == 2) & (bag == 0), 1).when(d == 2, 2).when((d == 3) & (bag >= 0), 2).when((d == 4) & (bag == 0), 2)
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows that each become many, over as many tasks as a shuffle has."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _pairs(fresh: DataFrame, known: DataFrame) -> DataFrame:
+    """``a, b, sort, edits`` of names of ``fresh`` with names of ``known`` that share a block and are near enough.
+
+    ``sort`` is 's' for two of one kind and trade, 'c' for a bare firm's name
+    ``a`` and one with a trade ``b``, 'b' for two bare ones.  A name stands once
+    for each kind and trade, however many records have it, so a block holds
+    distinct spellings of one name and never the records of a hot one.
+    """
+    bare = lambda t: (F.col(f"{t}kind") == "FIRM") & (F.col(f"{t}trade") == "")
+
+    def keys(names: DataFrame) -> DataFrame:
+        none = F.array().cast("array<bigint>")
+        own = F.when(~bare(""), F.transform(without_two(F.col("proper")), lambda v: F.xxhash64(F.lit("trade"), "scope", "kind", "trade", v)))
+        any_ = F.when(F.col("kind") == "FIRM", F.transform(without_one(F.col("proper")), lambda v: F.xxhash64(F.lit("any"), "scope", v)))
+        return _spread(names).select("id", bare("").alias("bare"), F.explode(F.concat(F.coalesce(own, none), F.coalesce(any_, none))).alias("key"))
+
+    x, y = keys(fresh).toDF("a", "abare", "key"), keys(known).toDF("b", "bbare", "key")
+    # of a bare name and another the bare one comes first; either end of two alike may be fresh
+    met = x.join(y, "key").filter(F.col("a") != F.col("b"))
+    turn = (F.col("bbare") & ~F.col("abare")) | ((F.col("abare") == F.col("bbare")) & (F.col("a") > F.col("b")))
+    met = met.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b")).distinct()
+    side = lambda c: known.select(*[F.col(k).alias(f"{c}_{k}" if k != "id" else c) for k in ("id", "kind", "trade", "proper")])
+    both = met.join(side("a"), "a").join(side("b"), "b").withColumn("edits", edits(F.col("a_proper"), F.col("b_proper"))).filter("edits is not null")
+    abare, bbare = bare("a_"), bare("b_")
+    alike = ~abare & ~bbare & (F.col("a_kind") == F.col("b_kind")) & (F.col("a_trade") == F.col("b_trade"))
+    sort = F.when(alike, "s").when(abare & bbare & (F.col("edits") <= 1), "b").when(abare & ~bbare & (F.col("b_kind") == "FIRM") & (F.col("edits") <= 1), "c")
+    return both.select("a", "b", sort.alias("sort"), F.col("edits").cast("int")).filter("sort is not null")
 
 
 def resolve(records: DataFrame, most_rounds: int = 8) -> DataFrame:
-    """``node, root`` for ``records(node, kind, proper, trade, legal, second, weight)``.
+    """``node, root`` for ``records(node, kind, proper, trade, legal, second, initials, weight)``; with a column ``scope``, each scope by itself.
 
     Records of one kind match if they share a proper name, but for a typing
-    error, and a trade.  A firm's record without a trade joins the profile of
-    its name that has most of its legal form, then most weight.  A second name
-    is a name of its profile like the first.
+    error or two, and a trade.  A firm's profile without a trade joins the
+    profile of its name that has most of its legal form, then most weight; if
+    no name is near and its name is nothing but initials, the one profile that
+    has these initials among those of its spellings and none of another legal
+    form.  A second name is a name of its profile like the first.
+
+    A merged profile has every name with every trade of its records; names that
+    it so has anew are blocked and compared in the next round, until there are
+    none.  ``initials`` is an array.
     """
-    nodes = written(records, "names")
-    names = nodes.select("node", "proper").union(nodes.filter("second <> ''").select("node", "second")).distinct()
-    links, profile = None, nodes.select("node", F.col("node").alias("root"))
+    if "scope" not in records.columns:
+        records = records.withColumn("scope", F.lit(""))
+    form = F.when((F.col("kind") == "FIRM") & (F.col("trade") == ""), F.col("legal")).otherwise("")
+    rows = records.select("scope", "node", "kind", "trade", "legal", "weight", "initials", form.alias("form"), F.explode(F.array_distinct(F.array("proper", "second"))).alias("proper"), (F.col("proper")).alias("first"))
+    rows = rows.filter("proper <> ''").withColumn("id", F.xxhash64("scope", "kind", "trade", "form", "proper"))
+    rows = written(rows.withColumn("main", F.xxhash64("scope", "kind", "trade", "form", "first")), "names")
+    names = rows.select("id", "scope", "kind", "trade", "proper").distinct()
+    links = rows.filter("id <> main").select(F.col("id").alias("a"), F.col("main").alias("b"))
+    fresh = names
+    owned = rows.filter("id = main").select("id", "legal", "weight", "initials")
     for _ in range(most_rounds):
-        kinds = nodes.join(profile, "node").select("root", "kind", "trade", "legal", "weight")
-        called = names.join(profile, "node").select("root", "proper").distinct()
-        spelled = called.select("root", F.explode(without_one(F.col("proper"))).alias("v")).distinct()
-        # a profile has all names and all trades of its records
-        trades = kinds.filter("trade <> '' or kind <> 'FIRM'").select("root", "kind", "trade").distinct()
-        known = called.join(trades, "root")
-        known = known.select(F.concat_ws("|", "kind", "trade").alias("key"), F.explode(without_two(F.col("proper"))).alias("v"), F.col("root").alias("node"))
-        known = known.select(F.xxhash64("key", "v").alias("key"), "node")
-        found = written(_stars(known), "found")  # parts of their own keep the plans small
+        pairs = written(_pairs(fresh, names), "pairs")
+        links = links.unionByName(pairs.filter("sort = 's'").select("a", "b"))
+        roots = components(links).toDF("id", "root")
+        held = written(names.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "profiles")
+        root = held.select("id", "root")
         # profiles of a firm's bare name choose one with a trade
-        bare = kinds.join(trades.select("root").distinct(), "root", "left_anti")
-        forms = kinds.filter("trade <> ''").groupBy("root", "legal").agg(F.sum("weight").alias("w"))
-        size = forms.groupBy("root").agg(F.sum("w").alias("total"))
-        seek = spelled.join(bare.groupBy("root").agg(F.max("legal").alias("legal")), "root").select(F.col("root").alias("bare"), "legal", "v")
-        choice = seek.join(spelled.join(size, "root"), "v").groupBy("bare", "legal", "root", "total").agg(F.max(F.length("v")).alias("near"))
-        choice = choice.join(forms.select("root", "legal", "w"), ["root", "legal"], "left")
-        order = F.struct(F.col("near"), F.when(F.col("legal") != "", F.coalesce("w", F.lit(0))).otherwise(0), F.col("total"), F.col("root"))
-        chosen = choice.groupBy("bare").agg(F.max_by("root", order).alias("b")).select(F.col("bare").alias("a"), "b")
+        traded = held.groupBy("root").agg(F.max((F.col("trade") != "").cast("int")).alias("traded"), F.min("kind").alias("kind"), F.min("scope").alias("scope"))
+        forms = owned.join(root, "id").groupBy("root", "legal").agg(F.sum("weight").alias("w"))
+        sizes = forms.groupBy("root").agg(F.sum("w").alias("total"), F.max("legal").alias("legal"))
+        bare = traded.filter("traded = 0 and kind = 'FIRM'").join(sizes.select("root", "legal"), "root", "left").select("scope", F.col("root").alias("bare"), F.coalesce("legal", F.lit("")).alias("form"))
+        near = pairs.filter("sort = 'c'").join(root.toDF("a", "bare"), "a").join(bare, "bare").join(root.toDF("b", "root"), "b").groupBy("bare", "form", "root").agg(F.min("edits").alias("edits"))
+        near = near.join(sizes.select("root", "total"), "root", "left").join(forms.select("root", F.col("legal").alias("form"), "w"), ["root", "form"], "left")
+        order = F.struct(-F.col("edits"), F.when(F.col("form") != "", F.coalesce("w", F.lit(0))).otherwise(0), F.coalesce("total", F.lit(0)), F.col("root"))
+        chosen = near.groupBy("bare").agg(F.max_by("root", order).alias("b"))
+        # nothing but initials: the one profile that has them
+        short = owned.select("id", F.explode("initials").alias("i")).join(root, "id").select("root", "i").distinct()
+        seek = short.filter(F.col("i").startswith("=")).select(F.col("root").alias("bare"), F.substring("i", 2, 5).alias("i")).join(bare, "bare").join(chosen, "bare", "left_anti")
+        have = short.filter(~F.col("i").startswith("=")).join(traded.select("root", "scope"), "root")
+        other = forms.filter("legal <> ''").select("root", F.col("legal").alias("other"))
+        fits = seek.join(have, ["i", "scope"]).filter("bare <> root").join(other, "root", "left").groupBy("bare", "form", "root").agg(F.max((F.col("other") == F.col("form")).cast("int")).alias("same"), F.count("other").alias("n"))
+        fits = fits.filter("form = '' or n = 0 or same = 1").groupBy("bare").agg(F.min("root").alias("b"), F.count("*").alias("c")).filter("c = 1").select("bare", "b")
+        chosen = chosen.unionByName(fits)
         # those that have no choice are one organisation by their name
-        alone = seek.join(chosen.select(F.col("a").alias("bare")), "bare", "left_anti").select(F.xxhash64("v").alias("key"), F.col("bare").alias("node"))
-        new = written(found.unionByName(chosen).unionByName(_stars(alone)), "merges")
-        if new.isEmpty():
-            return profile
-        # the richer profiles go around again; nodes that nothing has linked stay their own
-        links = new if links is None else links.unionByName(new)
-        profile = written(nodes.select("node").join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "profiles")
+        alone = bare.join(chosen, "bare", "left_anti").select("bare")
+        both = pairs.filter("sort = 'b'").join(root.toDF("a", "bare"), "a").join(alone, "bare").join(root.toDF("b", "r"), "b").join(alone.toDF("r"), "r", "left_semi")
+        new = written(chosen.select(F.col("bare").alias("a"), "b").unionByName(both.select(F.col("bare").alias("a"), F.col("r").alias("b"))), "merges")
+        links = written(links.unionByName(new), "links")
+        merged = components(new).toDF("root", "top")
+        held = written(held.join(merged, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top"), "merged")
+        # a profile's names with its trades that it didn't have so far
+        also = held.filter("kind = 'FIRM'").groupBy("root").agg(F.collect_set("trade").alias("trades"), F.count_distinct("trade").alias("n")).filter("n > 1").select("root", F.explode("trades").alias("trade")).filter("trade <> ''")
+        anew = held.filter("kind = 'FIRM'").select("root", "scope", "kind", "proper").distinct().join(also, "root")
+        anew = anew.join(held.filter("trade <> ''").select("root", "trade", "proper"), ["root", "trade", "proper"], "left_anti")
+        anew = anew.withColumn("id", F.xxhash64("scope", "kind", "trade", F.lit(""), "proper")).select("id", "root", "scope", "kind", "trade", "proper")
+        anew, n = counted(anew, "anew")
+        if not n:
+            return rows.filter("id = main").join(held.select("id", "root"), "id").select("node", "root").distinct()
+        links = links.unionByName(anew.select(F.col("id").alias("a"), F.col("root").alias("b")))
+        fresh = anew.select("id", "scope", "kind", "trade", "proper").distinct()
+        names = names.unionByName(fresh).distinct()
     raise RuntimeError("the profiles did not settle")
 
 
@@ -243,15 +349,20 @@ def name_nodes(texts: DataFrame) -> DataFrame:
 
 def name_records(read: DataFrame) -> DataFrame:
     """A record per node for ``resolve``; its legal form is the one it mostly has."""
-    by_form = read.groupBy("node", "kind", "proper", "trade", "second", "legal").agg(F.sum("weight").alias("w"))
-    return by_form.groupBy("node", "kind", "proper", "trade", "second").agg(F.max_by("legal", F.struct("w", "legal")).alias("legal"), F.sum("w").alias("weight"))
+    keys = [c for c in ("scope", "node", "kind", "proper", "trade", "second") if c in read.columns]
+    by_form = read.groupBy(*keys, "legal").agg(F.sum("weight").alias("w"), F.collect_set("initials").alias("i"))
+    return by_form.groupBy(*keys).agg(F.max_by("legal", F.struct("w", "legal")).alias("legal"), F.sum("w").alias("weight"), F.array_remove(F.array_distinct(F.flatten(F.collect_set("i"))), "").alias("initials"))
 
 
 def found_names(employers: DataFrame, aggs: DataFrame, contacts: DataFrame) -> DataFrame:
     """``name_a, name_b``: the pairs of texts that name the same organisation."""
+    who = name_classes(employers, aggs, contacts).select(F.col("name_class").alias("root"), F.col("text").alias("name_a"))
+    return who.join(who.select("root", F.col("name_a").alias("name_b")), "root").filter("name_a < name_b").select("name_a", "name_b")
+
+
+def name_classes(employers: DataFrame, aggs: DataFrame, contacts: DataFrame) -> DataFrame:
+    """``text, name_class``: the organisation of every distinct text that names one; null, blank and undisclosed names have no row."""
     texts = employers.select(F.col("display_name").alias("text")).unionByName(aggs.select(F.col("display_name").alias("text"))).unionByName(contacts.select(F.col("institution").alias("text")))
     texts = texts.filter(F.trim("text") != "").groupBy("text").agg(F.count("*").alias("weight"))
-    read = written(name_nodes(texts), "read")
-    who = read.select("text", "node").join(resolve(name_records(read)), "node").select("root", "text")
-    other = who.select("root", F.col("text").alias("name_b"))
-    return who.withColumnRenamed("text", "name_a").join(other, "root").filter("name_a < name_b").select("name_a", "name_b")
+    read = written(name_nodes(_spread(texts)), "read")
+    return read.select("text", "node").join(resolve(name_records(read)), "node").select("text", F.col("root").alias("name_class"))

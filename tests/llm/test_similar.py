@@ -3,13 +3,14 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import neardup
+from quern.llm import linking, neardup
 from quern.llm.canonical import found_canonical
 from quern.llm.linking import found_links, link_confidence, match_marginals
-from quern.llm.names import found_names, read_name
+from quern.llm.names import found_names, read_name, resolve
 from quern.llm.neardup import found_duplicates, near_duplicates, shingles, sketches, visible_text
 
 
@@ -161,6 +162,72 @@ def test_found_names(spark):
     assert found_names(e.limit(0), a.limit(0), c.limit(0)).count() == 0
 
 
+def _roots(spark, rows):
+    df = spark.createDataFrame([(*r, 1) for r in rows], "node string, kind string, proper string, trade string, legal string, second string, initials array<string>, weight int")
+    return {r.node: r.root for r in resolve(df).collect()}
+
+
+def test_a_richer_profile_merges_in_a_second_round(spark):
+    # the bare record joins the firm of its first name and so gives that firm's trade to its second name, which only then meets another spelling of it
+    rows = [("1", "FIRM", "SEDEBROMIS", "FOODS", "", "", []), ("2", "FIRM", "SEDEBROMIS", "", "", "FLANICOZOVAR", []), ("3", "FIRM", "FLANCIOZVAR", "FOODS", "", "", []), ("4", "FIRM", "FLANICOZOVAR", "ENERGY", "", "", [])]
+    got = _roots(spark, rows)
+    assert got["1"] == got["2"] == got["3"] != got["4"]
+    without = _roots(spark, [r for r in rows if r[0] != "2"])
+    assert len({without[n] for n in "134"}) == 3
+
+
+def test_initials_lead_to_the_one_profile_that_has_them(spark):
+    firms = [("1", "FIRM", "SEDEBROMIS", "MAPPING", "LLC", "", ["SMS"]), ("2", "FIRM", "SEDEBROMSI", "MAPPING", "LLC", "", ["SM"]), ("3", "FIRM", "KOTISUKRU", "FOODS", "INC", "", ["KF"])]
+    got = _roots(spark, firms + [("4", "FIRM", "SMS", "", "", "", ["=SMS"]), ("5", "FIRM", "SM", "", "LLC", "", ["=SM"]), ("6", "FIRM", "KF", "", "LLC", "", ["=KF"])])
+    assert got["1"] == got["2"] == got["4"] == got["5"]  # both spellings' initials are the profile's
+    assert got["6"] != got["3"]  # another legal form
+    two = _roots(spark, [*firms, ("7", "FIRM", "MOLDEBRIX", "SHIPPING", "", "", ["SMS"]), ("4", "FIRM", "SMS", "", "", "", ["=SMS"])])
+    assert two["4"] not in (two["1"], two["7"])  # two firms have them
+
+
+def test_a_shared_block_is_no_match(spark):
+    # each is two letters from what they share, and four edits from the other
+    rows = [("1", "FIRM", "ABSEDEBROMIS", "FOODS", "", "", []), ("2", "FIRM", "SEDEBROMISXY", "FOODS", "", "", [])]
+    got = _roots(spark, rows)
+    assert got["1"] != got["2"]
+
+
+def test_messages_change_who_is_matched(spark):
+    # a is rather b's by its own agreement, but b has a better one: without messages both of b's pairs would stand and c would stay alone
+    pairs = [("a", "b", 3.0), ("a", "c", 2.0), ("x", "b", 60.0)]
+    got = {(r.a, r.b): r.confidence >= 0.5 for r in match_marginals(spark.createDataFrame(pairs, "a string, b string, odds double")).collect()}
+    assert got == {("a", "b"): False, ("a", "c"): True, ("x", "b"): True}
+    assert all(odds / (1 + odds) >= 0.5 for _, _, odds in pairs)
+
+
+def test_graphs_of_a_task_are_settled_one_after_another(spark, monkeypatch):
+    monkeypatch.setattr(linking, "AT_ONCE", 2)
+    pairs = [(f"a{i}", f"b{i}{j}", float(1 + j)) for i in range(30) for j in range(3)]
+    rows = pd.DataFrame([(a, b, o, a) for a, b, o in pairs], columns=["a", "b", "odds", "root"])
+    out = pd.concat(linking._settle(1000, 1e-9, 0.1)(iter([rows.iloc[i : i + 4] for i in range(0, len(rows), 4)])))
+    want = {k: v for i in range(30) for k, v in _exact_marginals(pairs[3 * i : 3 * i + 3]).items()}
+    for r in out.itertuples():
+        belief = r.odds * r.from_a * r.from_b
+        assert abs(belief / (1 + belief) - want[r.a, r.b]) < 1e-6
+    assert len(out) == len(pairs)
+
+
+def test_rates_are_fitted():
+    rng = random.Random(5)
+    counts = collections.Counter()
+    for _ in range(20_000):
+        match = rng.random() < 0.6
+        draw = lambda rates: rng.choices(range(len(rates)), rates)[0]
+        truth = {"name": ((0.95, 0.04, 0.01), (0.2, 0.4, 0.4)), "trade": ((0.8, 0.1, 0.0999, 0.0001), (0.05, 0.05, 0.1, 0.8)), "form": ((0.7, 0.2, 0.1), (0.2, 0.2, 0.6)), "state": ((0.3, 0.3, 0.4), (0.3, 0.3, 0.4))}
+        counts[tuple(linking.LEVELS[f][draw(truth[f][0 if match else 1])] for f in linking.LEVELS)] += 1
+    odds = linking.fit_log_odds(counts)
+    # a field that says nothing of matches gets hardly any weight, whatever the fit began with
+    assert abs(odds["same", "same", "same", "same"] - odds["same", "same", "same", "differ"]) < 0.3
+    assert abs((odds["same", "same", "same", "one"] - odds["same", "same", "differ", "one"]) - np.log(0.7 / 0.2 / (0.1 / 0.6))) < 0.5
+    few = linking.fit_log_odds({("same", "same", "same", "same"): 2})
+    assert few["same", "same", "same", "same"] > 0 > few["same", "differ", "same", "same"]
+
+
 def _exact_marginals(pairs):
     total, part = 0.0, collections.Counter()
     for n in range(len(pairs) + 1):
