@@ -43,6 +43,34 @@ def test_ordinals_survive_new_runs_and_empties(spark):
     assert snapshot_changes(df, ok.limit(0), "g", "k", "r", [F.col("v")], F.col("t")).count() == 0
 
 
+def test_a_store_needs_new_runs_alone(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(rng.choice("aab"), f"k{rng.randrange(200)}", rng.randrange(1, 9), i, rng.randrange(3)) for i in range(3000)]
+    rows += [("late", f"k{i}", r, 0, r // 5) for i in range(70) for r in range(4, 9)]
+    delivered = sorted({(g, r) for g in ("a", "b", "late") for r in range(1, 9) if (g, r) not in {("a", 5), ("a", 6), ("b", 1), ("late", 1), ("late", 2)}})
+    df = lambda part: spark.createDataFrame(part, "g string, k string, r int, t int, v int")
+    ok = lambda part: spark.createDataFrame(part, "g string, r int")
+    store, got, ordinals = str(tmp_path / "store"), [], {}
+    for lo, hi in ((1, 3), (4, 4), (5, 8)):
+        part = [x for x in rows if lo <= x[2] <= hi]
+        again = [x for x in delivered if x[1] <= hi]  # pairs that the store has are passed over
+        got += [tuple(x) for x in snapshot_changes(df(part), ok(again), "g", "k", "r", [F.col("v")], F.col("t"), 3, store=store).collect()]
+        said = spark.read.parquet(f"{store}/dictionary/*").collect()
+        now = {(x.g, x.k): (x.s, x.o) for x in said}
+        assert len(said) == len(now) == len(set(now.values())) and ordinals.items() <= now.items()
+        ordinals = now
+    assert len(got) == len(set(got)) and set(got) == _brute(rows, set(delivered))
+
+
+def test_changed_columns_are_named(spark):
+    rows = [("a", f"k{i}", r, "x" if r == 1 or i % 2 else "y", str(i) if r == 1 or i % 3 else "z") for i in range(130) for r in (1, 2)]
+    df = spark.createDataFrame(rows, "g string, k string, r int, p string, q string")
+    ok = spark.createDataFrame([("a", 1), ("a", 2)], "g string, r int")
+    got = {x.k: x.changed_columns for x in snapshot_changes(df, ok, "g", "k", "r", [F.col("p"), F.col("q")], F.lit(0), 1, with_columns=True).collect()}
+    want = {f"k{i}": [c for c, on in ((1, i % 2 == 0), (2, i % 3 == 0)) if on] for i in range(130)}
+    assert got == {k: v for k, v in want.items() if v}
+
+
 def test_what_is_no_difference(spark):
     df = spark.createDataFrame([("Data  Analyst ", None), ("data analyst", "")], "t string, d string")
     assert len({r[0] for r in df.select(text_key(F.col("t"), F.col("d"))).collect()}) == 1
