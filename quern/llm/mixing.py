@@ -118,7 +118,11 @@ def route(patterns: dict[frozenset, int], shares: dict[str, float], repeats: dic
     return Route(solve(total, True)[2], total)
 
 
-def mix(df: DataFrame, key: str, content: str, source: str, size: str, targets: DataFrame, seed: int = 7, total: int | None = None, parts: int = 1024) -> tuple[DataFrame, DataFrame]:
+#: Sources that a mixture may have.
+MOST_SOURCES = 20
+
+
+def mix(df: DataFrame, key: str, content: str, source: str, size: str, targets: DataFrame, seed: int = 7, total: int | None = None, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The mixture and its report.
 
     ``df`` has a row per document: its ``key``, a fingerprint ``content`` of its
@@ -133,13 +137,19 @@ def mix(df: DataFrame, key: str, content: str, source: str, size: str, targets:
     has an actual share of 0 and the others share the rest in proportion.
 
     Texts are taken in the order of a seeded hash, from a table of sums over
-    ``parts`` ranges of it, so a pattern that holds most texts isn't one task.
+    ``parts`` ranges of it, so a pattern that holds most texts isn't one task;
+    unless given, as many as a shuffle has, and 1,024 at least.  The driver holds
+    a row per membership pattern: no more than 2^sources, so more than
+    ``MOST_SOURCES`` sources with a target are an error.
     """
+    parts = parts or max(1024, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     name = F.lower(F.trim(F.col(source)))
     goals = [(r["s"], r["w"], r["m"]) for r in targets.select(name.alias("s"), F.col("target_share").alias("w"), F.col("max_repeats").alias("m")).dropna().distinct().collect()]  # a row per source
     shares, repeats = {s: w for s, w, _ in goals}, {s: m for s, _, m in goals}
     if len(shares) != len(goals):
         raise ValueError("a source has several targets")
+    if len(shares) > MOST_SOURCES:
+        raise ValueError("too many sources")
     spark = df.sparkSession
     docs = df.select(F.col(key).alias("k"), F.col(content).alias("c"), name.alias("s"), F.col(size).cast("int").alias("n")).filter("k is not null and c is not null and n > 0")
     docs = docs.filter(F.col("s").isin(sorted(shares)))

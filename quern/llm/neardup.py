@@ -19,12 +19,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from quern.operators.components import components
-from quern.session import written
+from quern.session import counted, forget, written
 
 BANDS, ROWS, EXTRA = 40, 6, 96
+#: Counters of the sample in which crowded bands show, the part of the texts that is sampled, and the parts of a crowded band.
+SLOTS, SAMPLED, SALTS = 65_536, 16, 64
 #: At most so many keys are broadcast; beyond it the join is by shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -182,14 +184,16 @@ def _hopeful(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = np.empty(len(a))
-    for i, (p, q) in enumerate(zip(a, b)):
-        x, y = np.frombuffer(p, dtype=np.uint32), np.frombuffer(q, dtype=np.uint32)
-        both = np.concatenate([x, y])
-        both.sort()
-        same = int((both[1:] == both[:-1]).sum())
-        out[i] = same / max(1, len(both) - same)
-    return pd.Series(out)
+    """Similarity of sets of 32-bit values; the pairs of a batch are sorted as one array, with the pair in the upper half of each value."""
+    if not len(a):
+        return pd.Series([], dtype=float)
+    count = lambda s: np.fromiter((len(x) // 4 for x in s), dtype=np.int64, count=len(s))
+    na, nb = count(a), count(b)
+    values = np.frombuffer(b"".join([*a, *b]), dtype=np.uint32).astype(np.uint64)
+    owner = np.concatenate([np.repeat(np.arange(len(a)), na), np.repeat(np.arange(len(b)), nb)]).astype(np.uint64)
+    both = np.sort(owner << np.uint64(32) | values)
+    same = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(32)).astype(np.int64), minlength=len(a))
+    return pd.Series(same / np.maximum(1, na + nb - same))
 
 
 def _only(df: DataFrame, key: str, keys: DataFrame, n: int) -> DataFrame:
@@ -204,11 +208,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     # tasks that met the same text have each kept its sketch
     one = texts.select("fp", "extra").dropDuplicates(["fp"])
     hopeful = pairs.join(one.toDF("a", "ea"), "a").join(one.toDF("b", "eb"), "b").filter(_hopeful("ea", "eb", F.lit(least))).select("a", "b")
-    hopeful = written(hopeful, "hopeful")
+    hopeful, n = counted(hopeful, "hopeful")
     ends = hopeful.select(F.col("a").alias("k")).union(hopeful.select(F.col("b").alias("k"))).distinct()
-    grams = _only(texts.select("fp", "grams"), "fp", ends, 2 * hopeful.count()).dropDuplicates(["fp"])
+    grams = _only(texts.select("fp", "grams"), "fp", ends, 2 * n).dropDuplicates(["fp"])
     both = hopeful.join(grams.toDF("a", "ga"), "a").join(grams.toDF("b", "gb"), "b")
-    return written(both.filter(_similarity("ga", "gb") >= threshold).select("a", "b"), "verified")
+    out = written(both.filter(_similarity("ga", "gb") >= threshold).select("a", "b"), "verified")
+    forget(hopeful)
+    return out
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, least_words: int = 1, hot: int = 5000) -> DataFrame:
@@ -227,44 +233,54 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, leas
     Each band first compares its texts with the least of them; where one isn't
     similar, those of its pairs that no class connects yet are compared too.  So
     a class of many texts costs a comparison for each, not for each pair.
-    Bands that a sample shows to be very full are split by a salt for that.
+    Bands that a sample shows to be very full are split by a salt for both: the
+    heads of the parts are compared with the least of them, and the pairs of a
+    band are laid out over tiles.  ``hot`` is how many sampled texts of a band
+    more than usual make it full.
+
+    A pair is dismissed without its sets only if the share of equal coordinates
+    among ``EXTRA`` others is five deviations below the threshold.
     """
-    table = written(sketch_table(docs, size, least_words), "sketches")
+    table, rows = counted(sketch_table(docs, size, least_words), "sketches")
     ids = table.select("id", "fp").distinct()
     # one sketch for each text; other tasks may have kept their own
     texts = table.filter("extra is not null")
-    many = texts.select("fp", F.explode("bands").alias("band"))
-    crowded = many.filter(F.pmod(F.xxhash64("fp"), F.lit(16)) == 0).groupBy("band").agg(F.count("*").alias("c")).filter(F.col("c") > hot).select("band")
-    full = [r["band"] for r in crowded.limit(100_000).collect()]  # each holds 16 * hot texts or so; the rest only miss their salt
-    salt = F.lit(0).cast("long")
-    if full:
-        salt = F.when(F.col("band").isin(full), F.pmod(F.xxhash64("fp"), F.lit(64))).otherwise(salt)
-    many = many.withColumn("salt", salt)
-    box = Window.partitionBy("band", "salt")
-    buckets = many.select("band", "salt", "fp", F.min("fp").over(box).alias("head"), F.max("fp").over(box).alias("last"))
-    keep = (F.col("head") != F.col("last")) | (F.col("band").isin(full) if full else F.lit(False))
-    buckets = written(buckets.filter(keep).drop("last"), "buckets")
+    many = texts.select("fp", F.explode("bands").alias("band")).withColumn("slot", F.pmod(F.xxhash64("band"), F.lit(SLOTS)).cast("int"))
+    # a sample counts bands by slot: a fixed number of counters, however many bands; what shares a slot with a crowded band is salted like it, which changes no result
+    sampled = many.filter(F.pmod(F.xxhash64("fp"), F.lit(SAMPLED)) == 0).groupBy("slot").agg(F.count("*").alias("c"))
+    full = sampled.filter(F.col("c") > hot + rows * BANDS / SAMPLED / SLOTS).select("slot", F.lit(True).alias("full"))
+    many = many.join(F.broadcast(full), "slot", "left").select("fp", "band", F.coalesce("full", F.lit(False)).alias("full"))
+    many = many.withColumn("salt", F.when(F.col("full"), F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).otherwise(0)).repartition("band", "salt")
+    # the least and the greatest of a band are aggregates; the one exchange serves them and the join with them
+    heads = many.groupBy("band", "salt").agg(F.min("fp").alias("head"), F.max("fp").alias("last"), F.max("full").alias("full")).filter("full or head <> last")
+    buckets = written(many.join(heads.select("band", "salt", "head"), ["band", "salt"]), "buckets")
     stars = buckets.filter("fp <> head").select(F.col("fp").alias("a"), F.col("head").alias("b"))
-    if full:
-        heads = buckets.filter(F.col("band").isin(full)).select("band", "head").distinct()
-        stars = stars.unionByName(heads.select(F.col("head").alias("a"), F.min("head").over(Window.partitionBy("band")).alias("b")).filter("a <> b"))
-    stars = stars.distinct()
+    # the heads of a crowded band's salts meet the least of them
+    salted = buckets.filter("full").select("band", "head").distinct()
+    least = salted.groupBy("band").agg(F.min("head").alias("b"))
+    stars = stars.unionByName(salted.join(least, "band").select(F.col("head").alias("a"), "b").filter("a <> b")).distinct()
+    stars = written(stars, "stars")
     links = _verified(stars, texts, threshold)
     # bands in which a text isn't linked to its head: compare what no verified link to a common head connects
     roots = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     label = lambda df, c: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
-    sized = buckets.select("band", "fp").distinct()
-    mixed = label(sized, "fp").groupBy("band").agg(F.min("fp_root").alias("lo"), F.max("fp_root").alias("hi"), F.count("*").alias("c"), F.count_distinct("fp_root").alias("d")).filter("lo <> hi and c > 2").select("band")
-    rest = label(sized.join(mixed, "band", "left_semi"), "fp")
-    other = rest.select("band", F.col("fp").alias("b"), F.col("fp_root").alias("b_root"))
-    pairs = rest.select("band", F.col("fp").alias("a"), F.col("fp_root").alias("a_root")).join(other, "band").filter("a > b and a_root <> b_root").select("a", "b").distinct()
-    pairs = pairs.join(stars, ["a", "b"], "left_anti")
+    sized = label(buckets.select("band", "fp", "salt", "full"), "fp")
+    mixed = sized.groupBy("band").agg(F.min("fp_root").alias("lo"), F.max("fp_root").alias("hi"), F.count("*").alias("c")).filter("lo <> hi and c > 2").select("band")
+    rest = sized.join(mixed, "band", "left_semi")
+    # the pairs of a crowded band are laid out over SALTS x SALTS tiles, so that no task has all of them
+    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    tile = lambda name, free: rest.withColumn(free, F.explode(F.when(F.col("full"), every).otherwise(F.array(F.lit(0))))).select("band", F.col("fp").alias(name), F.col("fp_root").alias(f"{name}_root"), F.col("salt").alias("j" if free == "i" else "i"), free)
+    pairs = tile("a", "j").join(tile("b", "i"), ["band", "i", "j"]).filter("a > b and a_root <> b_root").select("a", "b").distinct()
+    pairs = written(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
+    forget(buckets, stars)
     more = _verified(pairs, texts, threshold)
     links = links.unionByName(more)
     roots = components(links)
     ends = links.select(F.col("a").alias("fp")).union(links.select("b")).groupBy("fp").agg(F.count("*").alias("links"))
     out = ids.join(roots.withColumnRenamed("node", "fp"), "fp", "left").join(ends, "fp", "left")
-    return out.select("id", F.coalesce("root", "fp").alias("text_class"), F.coalesce("links", F.lit(0)).cast("long").alias("spanning_links"))
+    out = written(out.select("id", F.coalesce("root", "fp").alias("text_class"), F.coalesce("links", F.lit(0)).cast("long").alias("spanning_links")), "classes")
+    forget(table, pairs)
+    return out
 
 
 _DESCRIPTION_WORDS, _SEQUENCE, _SHARE = 40, 3, 0.7
@@ -288,7 +304,7 @@ def _pairs(members: DataFrame, kind: str) -> DataFrame:
 def found_duplicates(postings: DataFrame, queue: DataFrame) -> DataFrame:
     """``kind, id_a, id_b``: the pairs of postings of one ad, and of queue entries that lead to one."""
     docs = postings.select(F.col("posting_id").alias("id"), F.col("title").alias("head"), F.col("description_html").alias("markup"), F.col("description_text").alias("plain"))
-    classes = written(near_duplicates(docs, _SEQUENCE, _SHARE, _DESCRIPTION_WORDS), "classes")
+    classes = near_duplicates(docs, _SEQUENCE, _SHARE, _DESCRIPTION_WORDS)
     # a posting without enough words is a group of its own
     groups = classes.select("id", F.coalesce(F.concat(F.lit("t"), "text_class"), F.concat(F.lit("p"), "id")).alias("g"))
     leads = postings.select(F.col("posting_id").alias("id"), _address(F.col("url")).alias("at")).filter("at <> ''").groupBy("at").agg(F.min("id").alias("id"))

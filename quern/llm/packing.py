@@ -58,6 +58,10 @@ def _take(took: np.ndarray, sizes: np.ndarray, c: int) -> dict[int, int]:
     return out
 
 
+#: Containers that a solution of the program fills at least before it is solved again.
+STEP = 2
+
+
 def configuration_lp(sizes: np.ndarray, counts: np.ndarray, capacity: int, epsilon: float = 0.15, rounds: int = 160, per_round: int = 48) -> dict[tuple, float]:
     """Patterns with fractional counts that together cover every size's count.
 
@@ -91,15 +95,15 @@ def configuration_lp(sizes: np.ndarray, counts: np.ndarray, capacity: int, epsil
 def _round(sizes: np.ndarray, counts: np.ndarray, capacity: int, part: float, fullest: bool, **lp) -> list[tuple[int, dict[int, int]]]:
     """Whole counts: a part of the program's solution is rounded and taken, and the program solved for what is left.
 
-    A pattern's fraction that rounding drops is owed to the next.  Once little
-    is left, or the program adds nothing, the rest takes the best fit.
-    ``fullest`` patterns come first, or else the most used.
+    A pattern's fraction that rounding drops is owed to the next.  Once the
+    program adds nothing the rest takes the best fit.  ``fullest`` patterns come
+    first, or else the most used.
     """
     left, runs = counts.astype(np.int64).copy(), []
-    while (left * sizes).sum() > 8 * capacity:
+    while left.any():
         on = np.flatnonzero(left > 0)
         patterns = configuration_lp(sizes[on], left[on].astype(float), capacity, **lp)
-        need, taken, owed = part * (left * sizes).sum() / capacity, 0, 0.0
+        need, taken, owed = max(STEP, part * (left * sizes).sum() / capacity), 0, 0.0
         full = {p: sum(int(sizes[on[j]]) * k for j, k in p) for p in patterns}
         for pattern, x in sorted(patterns.items(), key=lambda p: (-full[p[0]] if fullest else -p[1], p[0])):
             owed += x
@@ -158,15 +162,13 @@ def plan_containers(histogram: dict[int, int], capacity: int, **lp) -> Plan:
     if sizes[-1] > capacity:
         raise ValueError("an item is larger than the capacity")
     bound = -(-int((sizes * counts).sum()) // capacity)
-    runs = _round(sizes, counts, capacity, 1.0, True, **lp)
-    if sum(n for n, _ in runs) > bound * 1.002:
-        # few sizes, or large ones: many small steps of the program do better
-        other = _round(sizes, counts, capacity, 0.3, False, **{"epsilon": 0.1, "rounds": 60, "per_round": 16, **lp})
-        runs = min(runs, other, key=lambda r: sum(n for n, _ in r))
-    return Plan(capacity, runs, bound)
+    # one large step does better with many sizes, small steps with few or large ones
+    large = _round(sizes, counts, capacity, 1.0, True, **lp)
+    small = _round(sizes, counts, capacity, 0.3, False, **{"epsilon": 0.1, "rounds": 60, "per_round": 16, **lp})
+    return Plan(capacity, min(large, small, key=lambda r: sum(n for n, _ in r)), bound)
 
 
-def pack(df: DataFrame, key: str, size: str, capacity: int, spread: int = 64, **lp) -> DataFrame:
+def pack(df: DataFrame, key: str, size: str, capacity: int, spread: int | None = None, **lp) -> DataFrame:
     """``key, piece_no, n_tokens, container_id``: every item in a container.
 
     An item above the capacity is cut into pieces of the capacity and one of
@@ -175,7 +177,7 @@ def pack(df: DataFrame, key: str, size: str, capacity: int, spread: int = 64, **
     repeated is one item, of its largest size; rows with a null key are items
     of their own.  ``spread`` is the number of parts over which the items of
     one size are ranked, so that a size that a third of all items have is no
-    single task.
+    single task; unless given, as many as a shuffle has, and 64 at least.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
@@ -185,6 +187,8 @@ def pack(df: DataFrame, key: str, size: str, capacity: int, spread: int = 64, **
     pieces = pieces.withColumn("n", F.least(F.lit(capacity), F.col("n") - (F.col("piece_no") - 1) * capacity))
     from quern.session import cut
 
+    spread = spread or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
     # ranks and the plan must see the same rows: a lost executor must not change either
     pieces = cut(pieces.withColumn("part", F.pmod(F.xxhash64("k", "piece_no"), F.lit(spread)).cast("int")))
     by_part = pieces.filter("n > 0").groupBy("n", "part").agg(F.count("*").alias("c"))
@@ -192,19 +196,24 @@ def pack(df: DataFrame, key: str, size: str, capacity: int, spread: int = 64, **
     plan = plan_containers(histogram, capacity, **lp)
     spark = df.sparkSession
     # where the items of a size go: ranks from .. to, `times` in each container from `first` on
-    ranges, start, first = [], dict.fromkeys(histogram, 0), 0
+    ranges, start, first = {n: [] for n in histogram}, dict.fromkeys(histogram, 0), 0
     for copies, pattern in plan.runs:
         for s, times in sorted(pattern.items()):
-            ranges.append((s, start[s], start[s] + copies * times, times, first))
+            ranges[s].append((start[s], start[s] + copies * times, times, first))
             start[s] += copies * times
         first += copies
-    places = spark.createDataFrame(ranges, "size int, lo long, hi long, times int, first long")
+    # ranks of a size fall into as many blocks as it has ranges, so that a rank meets the few ranges of its block
+    width = {s: max(1, -(-histogram[s] // max(1, len(r)))) for s, r in ranges.items()}
+    blocks = [(s, at, *r) for s, own in ranges.items() for r in own for at in range(r[0] // width[s], (r[1] - 1) // width[s] + 1)]
+    places = spark.createDataFrame(blocks, "size int, block long, lo long, hi long, times int, first long")
+    widths = spark.createDataFrame(sorted(width.items()), "n int, width long")
     offset = F.coalesce(F.sum("c").over(Window.partitionBy("n").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = by_part.select("n", "part", offset.alias("before"))
     rank = F.row_number().over(Window.partitionBy("n", "part").orderBy("k", "piece_no")) - 1
     placed = pieces.filter("n > 0").withColumn("r", rank).join(offsets, ["n", "part"]).withColumn("r", F.col("r") + F.col("before"))
-    # bounded by rounds * per_round patterns and their sizes, whatever the number of items
-    placed = placed.join(F.broadcast(places), (F.col("n") == F.col("size")) & (F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi")))
+    # widths: a row per size; places: rounds * per_round patterns and their sizes twice at most, whatever the number of items
+    placed = placed.join(F.broadcast(widths), "n").withColumn("block", F.expr("r div width"))
+    placed = placed.join(F.broadcast(places), (F.col("n") == F.col("size")) & (placed["block"] == places["block"]) & (F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi")))
     placed = placed.select("k", "piece_no", F.col("n").alias("n_tokens"), (F.col("first") + F.floor((F.col("r") - F.col("lo")) / F.col("times"))).cast("long").alias("container_id"))
     empty = pieces.filter("n <= 0").select("k", "piece_no", F.lit(0).alias("n_tokens"), F.lit(None).cast("long").alias("container_id"))
     return placed.unionByName(empty).withColumnRenamed("k", key)

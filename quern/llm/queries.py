@@ -14,7 +14,7 @@ from quern.llm.neardup import found_duplicates
 from quern.llm.packing import pack
 from quern.llm.splitting import split_long
 from quern.llm.tokens import token_count
-from quern.sources.tables import spread_out, table, tables
+from quern.sources.tables import spread_out, table, table_once, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,9 +64,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    docs, set_to = table(spark, folder, "documents"), _settings(spark, folder)
-    # a repeated row is the same document
-    docs = docs.select("doc_id", "text").filter(F.octet_length("text") > set_to["piece_limit"]).dropDuplicates(["doc_id"])
+    docs, set_to = table_once(spark, folder, "documents", "doc_id", "text"), _settings(spark, folder)
     return split_long(docs, "doc_id", "text", set_to["piece_limit"], set_to["piece_overlap"])
 
 

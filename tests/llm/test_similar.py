@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import linking, neardup
-from quern.llm.canonical import found_canonical
+from quern.llm.canonical import found_canonical, near_spellings
 from quern.llm.linking import found_links, link_confidence, match_marginals
 from quern.llm.names import found_names, read_name, resolve
 from quern.llm.neardup import found_duplicates, near_duplicates, shingles, sketches, visible_text
@@ -87,6 +87,16 @@ def test_near_duplicates_equal_brute_force(spark, hot):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_a_crowded_band_loses_no_link(spark, monkeypatch):
+    # one band for all texts: much boilerplate, few alike
+    monkeypatch.setattr(neardup, "_bands", lambda sketch, bands, rows: np.tile(np.arange(1, bands + 1), (len(sketch), 1)))
+    monkeypatch.setattr(neardup, "SALTS", 4)
+    docs = [d for d in _docs(3) if d[0] < 150]
+    df = spark.createDataFrame(docs, "id long, head string, markup string, plain string").repartition(3)
+    got = {r.id: r.text_class for r in near_duplicates(df, 3, 0.75, 40, hot=0).collect() if r.text_class is not None}
+    assert {frozenset(g) for g in _groups(got)} == _classes(docs, 3, 0.75, 40)
+
+
 def test_spanning_links_connect_a_class(spark):
     base = [f"w{i}" for i in range(200)]
     docs = [(i, "head", None, " ".join([*base, f"x{i}"])) for i in range(6)]
@@ -127,6 +137,31 @@ def test_canonical(spark):
     assert {r.ref_id for r in found_canonical(p, e, titles.limit(0), skills.limit(0)).collect()} == {0}
 
 
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_segments_find_what_all_pairs_find(spark):
+    rng = random.Random(9)
+    ways = [(i, "".join(rng.choice("abc") for _ in range(rng.randrange(2, 13))), rng.randrange(0, 5)) for i in range(80)]
+    ways = list({s: (i, s, c) for i, s, c in ways}.values())
+    keys = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 14))) for _ in range(150)} | {s for _, s, _ in ways[:20]} | {s[1:] + s[0] for _, s, _ in ways} | {s[:-1] for _, s, _ in ways}
+    got = {(r.key, r.ref_id): r.dist for r in near_spellings(spark.createDataFrame([(k,) for k in keys if k], "key string"), spark.createDataFrame(ways, "ref_id int, spelling string, cost int")).collect()}
+    want = {}
+    for k in keys:
+        for i, s, c in ways:
+            allowed = 2 if len(s) >= 5 and (c < 2 or (c <= 3 and len(s) >= 6 + 2 * c)) else 0
+            d = _distance(k, s)
+            if k and d <= allowed and (d <= 1 or sorted(k) == sorted(s) or (c == 0 and len(s) >= 9)):
+                want[k, i] = d
+    assert got == want and set(want.values()) == {0, 1, 2}
+
+
 @pytest.mark.parametrize(
     "name, parts",
     [
