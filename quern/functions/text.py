@@ -7,26 +7,59 @@ starts a job.  Null texts count as empty unless told otherwise.
 from __future__ import annotations
 
 import unicodedata
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column, functions as F
 
 
 
+def _plain(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+
+
 def _folding() -> tuple[str, str]:
-    """Accented Latin letters and what they are without their marks, by Unicode's own decomposition."""
-    pairs = []
-    for c in map(chr, range(0xC0, 0x250)):
-        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if len(plain) == 1 and plain != c and plain.isascii():
-            pairs.append((c, plain))
+    """Every character that is an ASCII one without its marks, by Unicode's own decomposition, and what it is."""
+    pairs = [(c, p) for c in map(chr, [*range(0xA0, 0xD800), *range(0xF900, 0x20000)]) if len(p := _plain(c)) == 1 and p != c and p.isascii()]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
-_MARKED, _PLAIN = _folding()
+def _ligatures() -> list[tuple[str, str]]:
+    """Letters that stand for several."""
+    return [(c, p) for c in map(chr, [0x132, 0x133, *range(0x1C4, 0x1CD), *range(0x1F1, 0x1F4), *range(0xFB00, 0xFB07)]) if (p := _plain(c)).isascii()]
+
+
+_MARKED, _UNMARKED = _folding()
 
 
 def fold_accents(text: Column) -> Column:
-    return F.translate(F.regexp_replace(text, r"[̀-ͯ]", ""), _MARKED, _PLAIN)
+    """Letters without their marks, full-width and other forms as plain ones."""
+    text = F.translate(F.regexp_replace(text, r"[\u0300-\u036f]", ""), _MARKED, _UNMARKED)
+    for c, plain in _ligatures():
+        text = F.replace(text, F.lit(c), F.lit(plain))
+    return text
+
+
+def _entities() -> dict[str, str]:
+    """The named entities of HTML 4, by the standard library's table, and those that HTML 5 adds for ASCII."""
+    return {k: chr(v) for k, v in name2codepoint.items()} | {k[:-1]: v for k, v in html5.items() if k.endswith(";") and len(v) == 1 and v.isascii()}
+
+
+def unescape(text: Column) -> Column:
+    """A text with its entities, named or by number, read once; what is none stays as written."""
+    named = F.create_map(*[F.lit(x) for kv in _entities().items() for x in kv])
+    pieces = F.split(text, "&")
+
+    def read(piece: Column, i: Column) -> Column:
+        body = F.regexp_extract(piece, r"^(#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]*);", 1)
+        rest = F.substring(piece, F.length(body) + 2, F.length(piece))
+        digits = F.when(F.lower(body).startswith("#x"), F.conv(F.substring(body, F.lit(3), F.length(body)), 16, 10)).otherwise(F.substring(body, F.lit(2), F.length(body)))
+        number = F.when(body.startswith("#"), digits.try_cast("int"))
+        valid = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+        sign = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        sign = F.coalesce(sign, F.try_element_at(named, body))
+        return F.when(i == 0, piece).when((body != "") & sign.isNotNull(), F.concat(sign, rest)).otherwise(F.concat(F.lit("&"), piece))
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, read), "")).otherwise(text)
 
 
 def collapse(text: Column) -> Column:
@@ -93,17 +126,23 @@ TITLE_NOISE = "remote hybrid onsite on site fulltime full time contract temporar
 
 
 def title_norm(title: Column) -> Column:
-    text = F.lower(F.coalesce(title, F.lit("")))
-    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"), ("’", "'"), ("–", "-"), ("—", "-")):
-        text = F.replace(text, F.lit(entity), F.lit(plain))
-    return F.regexp_replace(F.regexp_replace(text, r"[\s ]+", " "), r"^ | $", "")
+    """A title as compared: entities read, lower case, plain quotes and dashes, single blanks."""
+    text = F.lower(unescape(F.coalesce(title, F.lit(""))))
+    text = F.translate(text, "’–—", "'--")
+    return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), r"^ | $", "")
 
 
 def title_level(title: Column) -> Column:
-    """The level at the end of a title, upper case; null without one."""
+    """The level at the end of a title, upper case; null without one, and for the first, which says nothing."""
     text = F.trim(F.regexp_replace(F.regexp_replace(title_norm(title), _BRACKETED, " "), r"[,\-/|]+", " "))
-    level = F.regexp_extract(text, rf"\b({_LEVEL})$", 1)
-    return F.when(level != "", F.upper(level))
+    level = F.upper(F.regexp_extract(text, rf"\b({_LEVEL})$", 1))
+    return F.when(~level.isin("", "I", "1"), level)
+
+
+def level_penalty(title: Column) -> Column:
+    """Points that a level costs: 4 for the second, 8 for those above, else none."""
+    level = title_level(title)
+    return F.when(level.isin("II", "2"), -4).when(level.isNotNull(), -8).otherwise(0)
 
 
 def title_key(title: Column) -> Column:
@@ -152,7 +191,7 @@ def camel_slug(*words_of: tuple[Column, int]) -> Column:
     parts = []
     for text, n in words_of:
         words = F.filter(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^A-Za-z0-9]+", " "), " "), lambda w: w != "")
-        parts.append(F.array_join(F.transform(F.slice(words, 1, n), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 99)))), ""))
+        parts.append(F.array_join(F.transform(F.slice(words, 1, n), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))), ""))
     return F.concat(*parts)
 
 
@@ -164,7 +203,7 @@ STATES = {
     "montana": "MT", "nebraska": "NE", "nevada": "NV", "new hampshire": "NH", "new jersey": "NJ", "new mexico": "NM", "new york": "NY",
     "north carolina": "NC", "north dakota": "ND", "ohio": "OH", "oklahoma": "OK", "oregon": "OR", "pennsylvania": "PA", "rhode island": "RI",
     "south carolina": "SC", "south dakota": "SD", "tennessee": "TN", "texas": "TX", "utah": "UT", "vermont": "VT", "virginia": "VA", "washington": "WA",
-    "west virginia": "WV", "wisconsin": "WI", "wyoming": "WY",
+    "west virginia": "WV", "wisconsin": "WI", "wyoming": "WY", "district of columbia": "DC",
 }
 
 
@@ -210,3 +249,72 @@ def institution_variants(name: Column) -> Column:
     out = F.filter(out, lambda v: v != "")
     low = F.transform(out, lambda v: F.lower(v))
     return F.filter(out, lambda v, i: F.array_position(low, F.lower(v)) == i + 1)
+
+
+def plain_company(name: Column) -> Column:
+    """The plainest spelling of a company, without the punctuation that this leaves."""
+    return F.regexp_replace(F.coalesce(F.element_at(institution_variants(name), -1), F.lit("")), r"^[ ,.;]+|[ ,.;]+$", "")
+
+
+# First words of a name that are a board of somebody else.
+NO_SLUG = (
+    "data tech group global us usa inc the american national international first general united new one "
+    "advanced premier systems solutions services technologies"
+).split()
+
+
+def slug_candidates(name: Column, most: int = 5) -> Column:
+    """Names that a company's board may have, the likeliest first: all words, the first two, the first; of four letters or more."""
+    words = F.filter(F.split(F.lower(employer_norm(name)), " "), lambda w: w != "")
+    two = F.when(F.size(words) >= 2, F.slice(words, 1, 2))
+    out = F.array(F.array_join(words, ""), F.array_join(words, "-"), F.array_join(two, ""), F.array_join(two, "-"), F.get(words, F.lit(0)))
+    return F.slice(F.array_distinct(F.filter(out, lambda s: s.isNotNull() & (F.length(s) >= 4) & ~s.isin(NO_SLUG))), 1, most)
+
+
+def site_names(tenant: Column, templates: tuple[str, ...]) -> Column:
+    """The templates with the tenant in lower case, with a capital and in upper case for ``{t}``, ``{T}`` and ``{U}``."""
+    def filled(template: str) -> Column:
+        out = F.lit(template)
+        for mark, form in (("{t}", F.lower(tenant)), ("{T}", F.concat(F.upper(F.substring(tenant, 1, 1)), F.lower(F.substring(tenant, F.lit(2), F.length(tenant))))), ("{U}", F.upper(tenant))):
+            out = F.replace(out, F.lit(mark), form)
+        return out
+
+    return F.array(*map(filled, templates))
+
+
+def occupation_base(code: Column) -> Column:
+    """An occupation code without its detail: what stands before the first stop."""
+    return F.upper(F.trim(F.split_part(F.trim(F.coalesce(code.cast("string"), F.lit(""))), F.lit("."), F.lit(1))))
+
+
+def snippet(text: Column, size: int = 400) -> Column:
+    return F.substring(text, 1, size)
+
+
+def pick_name(*names: Column, placeholder: str = r"(?i)^(?:unknown|untitled|n/?a|-)?$") -> Column:
+    """The first name that is no placeholder, else the first that isn't empty."""
+    plain = [F.trim(F.coalesce(n, F.lit(""))) for n in names]
+    return F.coalesce(*[F.when(~n.rlike(placeholder), n) for n in plain], *[F.nullif(n, F.lit("")) for n in plain])
+
+
+def is_slug(text: Column) -> Column:
+    """Whether a text may name a folder: letters, digits, dashes and underscores, beginning with a letter or digit."""
+    return F.coalesce(text.rlike(r"^[A-Za-z0-9][A-Za-z0-9_-]{0,119}$"), F.lit(False))
+
+
+def years_required(text: Column, context: int = 80, most: int = 20) -> Column:
+    """The least number of years that a text asks for: with the word experience, and without years of education or schooling, within so many characters; null if none."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    span = r"(\d{1,2})\s*\+?\s*(?:-\s*\d{1,2}\s*)?(?:years?|yrs?)"
+    pieces = F.split(F.regexp_replace(F.regexp_replace(low, "[\u0001\u0002]", " "), span, "\u0001$0\u0002"), "[\u0001\u0002]")
+
+    def asked(i: Column) -> Column:
+        found = F.get(pieces, i)
+        before = F.array_join(F.slice(pieces, F.lit(1), i), "")
+        after = F.array_join(F.slice(pieces, i + 2, F.size(pieces)), "")
+        near = F.concat(F.substring(before, F.lit(-context), F.lit(context)), found, F.substring(after, 1, context))
+        n = F.regexp_extract(found, r"^\d{1,2}", 0).try_cast("int")
+        return F.when(F.contains(near, F.lit("experience")) & ~near.rlike("years? of (?:education|schooling)") & (n <= most), n)
+
+    at = F.when(F.size(pieces) >= 3, F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    return F.array_min(F.transform(at, asked))

@@ -39,12 +39,12 @@ class _Flat(HTMLParser):
 
 
 def flat_text(markup: str | None, twice: bool = False) -> str:
-    """Plain text of a description, with its lines kept; ``twice`` if its entities are escaped once more."""
+    """Plain text of a description, with its lines kept; entities are read once before the markup, and once more if ``twice``."""
     if not markup:
         return ""
     import re
 
-    text = html.unescape(markup) if twice else markup
+    text = html.unescape(html.unescape(markup) if twice else markup)
     parser = _Flat()
     parser.feed(text)
     parser.close()

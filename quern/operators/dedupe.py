@@ -35,14 +35,21 @@ def upsert_absent(known: DataFrame, found: DataFrame, keys: Sequence[str]) -> Da
     return known.unionByName(found.join(known.select(*keys).distinct(), list(keys), "left_anti").select(*known.columns))
 
 
-def spread(df: DataFrame, group: Column, order: Sequence[Column], per_group: int) -> DataFrame:
+def spread(df: DataFrame, group: Column, order: Sequence[Column], per_group: int, salts: int = 64) -> DataFrame:
     """Adds ``place``: at most ``per_group`` of each group in order come first, then the rest in order.
 
-    Only the final numbering needs a total order; ranks within groups are
-    windows over the groups.
+    Rows are ranked within salts of a group, and what these put first among each
+    other, so a group that holds most rows is no single task.  ``order`` must end
+    in something unique.  Null groups are one group.
     """
-    inside = F.row_number().over(Window.partitionBy(group).orderBy(*[c.column.desc_nulls_last() if _down(c) else c.asc_nulls_last() for c in order]))
-    ranked = df.withColumn("__late", (inside > per_group).cast("int"))
+    sort = [c.column.desc_nulls_last() if _down(c) else c.asc_nulls_last() for c in order]
+    rows = df.withColumns({"__g": group, "__salt": F.pmod(F.xxhash64(*_plain(order)), F.lit(salts))})
+    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__g", "__salt").orderBy(*sort)))
+    rows = rows.withColumn("__first", F.col("__n") <= per_group)
+    # at most salts * per_group rows of a group are ranked together; the others each stand alone
+    box = [F.col("__g"), F.col("__first"), F.when(~F.col("__first"), F.xxhash64(*_plain(order)))]
+    rows = rows.withColumn("__late", (~F.col("__first") | (F.row_number().over(Window.partitionBy(*box).orderBy(*sort)) > per_group)).cast("int"))
+    ranked = rows.drop("__g", "__salt", "__n", "__first")
     return number_rows(ranked, [F.col("__late"), *order], "place").drop("__late")
 
 

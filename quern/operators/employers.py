@@ -38,8 +38,23 @@ def rekey(employers: DataFrame) -> DataFrame:
     )
 
 
-# Words that many institutions' names share.
-GENERIC_WORDS = "UNIVERSITY COLLEGE INSTITUTE SCHOOL HOSPITAL MEDICAL CENTER CENTRE HEALTH SYSTEM RESEARCH FOUNDATION TRUSTEES REGENTS BOARD OF THE AND AT IN FOR STATE TECHNOLOGY".split()
+# Single words that are no evidence of a common owner.
+GENERIC_STEMS = (
+    "CONSULTING TECHNOLOGY TECHNOLOGIES SOLUTIONS SYSTEMS PARTNERS CAPITAL GLOBAL INTERNATIONAL ENTERPRISES VENTURES MANAGEMENT ANALYTICS DIGITAL LABS "
+    "LABORATORY STAFFING RECRUITING SOFTWARE DATA HEALTH HEALTHCARE MEDICAL FINANCIAL INSURANCE BANK UNIVERSITY COLLEGE SCHOOL DISTRICT HOSPITAL CLINIC "
+    "FOUNDATION INSTITUTE RESEARCH ENGINEERING CONSTRUCTION LOGISTICS TRANSPORT RETAIL ENERGY"
+).split()
+
+# Words that many institutions' names share, with the single words above.
+GENERIC_WORDS = (
+    "UNIVERSITY UNIVERSITIES COLLEGE SCHOOL MEDICAL CENTER CENTERS CENTRE HOSPITAL HOSPITALS "
+    "HEALTH HEALTHCARE SCIENCES SCIENCE INSTITUTE INSTITUTES RESEARCH LABORATORY LABORATORIES "
+    "CLINIC FOUNDATION SYSTEM SYSTEMS DEPARTMENT DIVISION FACULTY GRADUATE NATIONAL STATE "
+    "REGIONAL MEMORIAL CHILDRENS CHILDREN GENERAL COMMUNITY COMPREHENSIVE CANCER HEART BRAIN "
+    "TRUSTEES BOARD REGENTS AUTHORITY TRUST THE OF AND FOR AT IN S "
+    "ARTIFICIAL INTELLIGENCE MACHINE LEARNING AI ML ADVANCED APPLIED INNOVATION "
+    "INNOVATIONS CLOUD CYBER SMART GROUP COMPANY CORP INCORPORATED"
+).split() + GENERIC_STEMS
 
 
 def affix_siblings(employers: DataFrame, key: str = "norm_name", name: str = "display_name") -> DataFrame:
@@ -138,11 +153,3 @@ def match_names(names: DataFrame, employers: DataFrame, accept: int = 88, margin
     low = best.groupBy("norm").agg(F.max("best").alias("s"))
     none = long.join(tied, "norm", "left_anti").join(low, "norm", "left").select("norm", F.lit("none").alias("method"), F.col("s").alias("score"), F.array().cast("array<string>").alias("names"))
     return exact.unionByName(short).unionByName(tied).unionByName(none)
-
-
-# Single words that are no evidence of a common owner.
-GENERIC_STEMS = (
-    "CONSULTING TECHNOLOGY TECHNOLOGIES SOLUTIONS SYSTEMS PARTNERS CAPITAL GLOBAL INTERNATIONAL ENTERPRISES VENTURES MANAGEMENT ANALYTICS DIGITAL LABS "
-    "LABORATORY STAFFING RECRUITING SOFTWARE DATA HEALTH HEALTHCARE MEDICAL FINANCIAL INSURANCE BANK UNIVERSITY COLLEGE SCHOOL DISTRICT HOSPITAL CLINIC "
-    "FOUNDATION INSTITUTE RESEARCH ENGINEERING CONSTRUCTION LOGISTICS TRANSPORT RETAIL ENERGY"
-).split()

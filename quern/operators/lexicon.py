@@ -18,6 +18,41 @@ def first_term(text: Column, terms: Sequence[str]) -> Column:
     return F.coalesce(*[F.when(F.contains(text, F.lit(t)), F.lit(t)) for t in terms]) if terms else F.lit(None).cast("string")
 
 
+# Nouns that end a post's name, between which and its field other words may stand, and words of analytics.
+POSTS = ("analyst", "analysts", "administrator", "engineer", "specialist")
+ANALYTICS = r"(?i)\b(?:analyst|analytics|analysis|data|business intelligence|bi|insights|reporting|quantitative|statistic)\w*\b"
+
+
+def title_tier(title: Column, terms: Sequence[tuple[str, str]]) -> Column:
+    """``tier, term`` of a normalised title by a list of ``(term, tier)``, whose order counts; both null if no term fits.
+
+    Tier 'N' goes first: such a term must stand as words, with up to 26
+    characters before its last word if that is a post; the term is then the
+    text found.  An 'A' term anywhere in the title comes next, 'A-partial' unless
+    it is all of it before a qualifier; then 'C' beside a word of analytics, then 'B'.
+    """
+    of = lambda tier: [t.strip().lower() for t, k in terms if k.strip() == tier]
+    found = lambda tier, term: F.struct(tier.alias("tier"), term.alias("term"))
+    # one array of terms for a tier, as a chain of conditions for each would be a very long expression
+    first = lambda tier: F.get(F.filter(F.array(*map(F.lit, of(tier))), lambda t: F.contains(title, t)), F.lit(0)) if of(tier) else F.lit(None).cast("string")
+    patterns = []
+    for t in of("N"):
+        words = t.split()
+        head = r"\s+".join(map(re.escape, words[:-1]))
+        patterns.append(rf"{head}\b[\w\s/&,-]{{0,26}}?\b{re.escape(words[-1])}" if len(words) >= 2 and words[-1] in POSTS else re.escape(t))
+    none = F.lit(None).cast("string")
+    refused = F.coalesce(*[F.nullif(F.regexp_extract(title, rf"(?<![a-z])({p})(?![a-z])", 1), F.lit("")) for p in patterns], none)
+    bare = F.trim(F.regexp_replace(title, r"[,\-–|/(].*$", ""))
+    a, b, c = first("A"), first("B"), F.when(title.rlike(ANALYTICS), first("C"))
+    return (
+        F.when(title.rlike(rf"(?<![a-z])(?:{'|'.join(patterns)})(?![a-z])") if patterns else F.lit(False), found(F.lit("N"), refused))
+        .when(a.isNotNull(), found(F.when((bare == a) | (title == a), "A").otherwise("A-partial"), a))
+        .when(c.isNotNull(), found(F.lit("C"), c))
+        .when(b.isNotNull(), found(F.lit("B"), b))
+        .otherwise(found(none, none))
+    )
+
+
 def term_pattern(forms: Sequence[str]) -> str:
     """Matches any of the forms where no letter or digit goes on."""
     return rf"(?<![a-z0-9])(?:{'|'.join(re.escape(f) for f in sorted(set(forms), key=lambda f: (-len(f), f)))})(?![a-z0-9])"

@@ -89,8 +89,8 @@ def cards(rows: DataFrame, key: str, ident: str, order: Sequence[Column], seen:
 def histogram(rows: DataFrame, value: str, width: int) -> DataFrame:
     """``bucket, rows, share_of_peak`` of a number by buckets of ``width``; nulls are left out."""
     counts = rows.filter(F.col(value).isNotNull()).groupBy((F.floor(F.col(value) / width) * width).cast("long").alias("bucket")).agg(F.count("*").alias("rows"))
-    peak = counts.agg(F.max("rows").alias("peak"))
-    return counts.join(F.broadcast(peak)).select("bucket", "rows", F.round(F.col("rows") / F.col("peak"), 4).alias("share_of_peak"))  # one row
+    # a row per bucket is left
+    return counts.select("bucket", "rows", F.round(F.col("rows") / F.max("rows").over(Window.partitionBy()), 4).alias("share_of_peak"))
 
 
 def upper_median(rows: DataFrame, value: str, by: Sequence[str]) -> DataFrame:

@@ -39,28 +39,38 @@ def _sql_simple(c: str) -> str:
     return f"trim(regexp_replace(trim(regexp_replace({upper}, '[^A-Z0-9]+', ' ', 'g')), '^THE( |$)', ''))"
 
 
+# the SQL spells its lists out, so that a word that the engine's lists lose shows
+_LEGAL_TAIL = r"^(\S+(?: \S+)*?)(?: (?:INC|INCORPORATED|LLC|LTD|LIMITED|CORP|CORPORATION|CO|COMPANY|LP|LLP|PLC|PC|PLLC|GMBH|SA|NV|AG|PTE|PVT|SAS|BV|AB|PBC|SPC|DBA|COM))+$"
+_GEO_TAIL = r"^(\S+(?: \S+)*?)(?: (?:USA|US|AMERICA|AMERICAS|NORTHAMERICA|NA|GLOBAL|INTERNATIONAL|WORLDWIDE))+$"
+_DESCRIPTOR_TAIL = r"^(\S+ \S+(?: \S+)*) (?:HOLDINGS|HOLDING|GROUP|SERVICES|SERVICE|SOLUTIONS|TECHNOLOGIES|TECHNOLOGY|SYSTEMS|LABS|LABORATORIES|PARTNERS|VENTURES|ENTERPRISES|CONSULTING)$"
+_SQL_ENTITY = "('INC', 'INCORPORATED', 'LLC', 'LLP', 'LP', 'PLC', 'PBC', 'CORP', 'CORPORATION', 'CO', 'COMPANY', 'LTD', 'LIMITED', 'GMBH', 'NV', 'SA', 'AG', 'KK', 'PTE', 'PVT', 'US', 'USA', 'U', 'S', 'AMERICA', 'AMERICAS', 'HOLDINGS', 'HOLDING', 'SERVICES', 'SERVICE', 'NATIONAL', 'ASSOCIATION')"
+_SQL_GENERIC = (
+    "string_split('CONSULTING TECHNOLOGY TECHNOLOGIES SOLUTIONS SYSTEMS PARTNERS CAPITAL GLOBAL INTERNATIONAL ENTERPRISES VENTURES MANAGEMENT ANALYTICS DIGITAL LABS LABORATORY STAFFING RECRUITING SOFTWARE DATA HEALTH "
+    "HEALTHCARE MEDICAL FINANCIAL INSURANCE BANK UNIVERSITY COLLEGE SCHOOL DISTRICT HOSPITAL CLINIC FOUNDATION INSTITUTE RESEARCH ENGINEERING CONSTRUCTION LOGISTICS TRANSPORT RETAIL ENERGY UNIVERSITIES CENTER CENTERS CENTRE "
+    "HOSPITALS SCIENCES SCIENCE INSTITUTES LABORATORIES SYSTEM DEPARTMENT DIVISION FACULTY GRADUATE NATIONAL STATE REGIONAL MEMORIAL CHILDRENS CHILDREN GENERAL COMMUNITY COMPREHENSIVE CANCER HEART BRAIN TRUSTEES BOARD REGENTS "
+    "AUTHORITY TRUST THE OF AND FOR AT IN S ARTIFICIAL INTELLIGENCE MACHINE LEARNING AI ML ADVANCED APPLIED INNOVATION INNOVATIONS CLOUD CYBER SMART GROUP COMPANY CORP INCORPORATED', ' ')"
+)
+_SQL_NOISE = "('remote', 'hybrid', 'onsite', 'on', 'site', 'fulltime', 'full', 'time', 'contract', 'temporary', 'us', 'usa', 'united', 'states')"
+
+
 def _sql_norm(c: str) -> str:
     key = _sql_simple(c)
-    for pattern in (tx.tail_pattern(tx.LEGAL_WORDS), tx.tail_pattern(tx.GEO_WORDS), tx.DESCRIPTOR_PATTERN, tx.tail_pattern(tx.LEGAL_WORDS)):
+    for pattern in (_LEGAL_TAIL, _GEO_TAIL, _DESCRIPTOR_TAIL, _LEGAL_TAIL):
         key = f"regexp_replace({key}, '{pattern}', '\\1')"
     return key
 
 
-def _sql_list(words) -> str:
-    return ", ".join(f"'{w}'" for w in words)
-
-
 def _sql_stem(norm: str) -> str:
-    return f"list_filter(string_split({norm}, ' '), lambda t: t <> '' AND t NOT IN ({_sql_list(tx.ENTITY_WORDS)}) AND NOT regexp_full_match(t, '\\d+'))"
+    return f"list_filter(string_split({norm}, ' '), lambda t: t <> '' AND t NOT IN {_SQL_ENTITY} AND NOT regexp_full_match(t, '\\d+'))"
 
 
-_NAMES = "SELECT DISTINCT display_name AS name FROM employers WHERE display_name IS NOT NULL UNION SELECT display_name FROM employer_aggs WHERE display_name IS NOT NULL UNION SELECT company FROM boards WHERE company IS NOT NULL"
+_NAMES = "SELECT DISTINCT display_name AS name FROM employers WHERE display_name IS NOT NULL UNION SELECT display_name FROM employer_aggs WHERE display_name IS NOT NULL UNION SELECT company FROM boards WHERE company IS NOT NULL UNION SELECT institution FROM contacts WHERE institution IS NOT NULL"
 
 
 @query(f"WITH n AS ({_NAMES}), k AS (SELECT name, {_sql_simple('name')} AS simple, {_sql_norm('name')} AS norm FROM n) SELECT name, simple, norm, lower(norm) AS company, array_to_string({_sql_stem('norm')}, ' ') AS stem FROM k")
 def name_keys(spark, folder):
-    e, a, b = tables(spark, folder, "employers", "employer_aggs", "boards")
-    names = e.select(F.col("display_name").alias("name")).union(a.select("display_name")).union(b.select("company")).filter("name is not null").distinct()
+    e, a, b, c = tables(spark, folder, "employers", "employer_aggs", "boards", "contacts")
+    names = e.select(F.col("display_name").alias("name")).union(a.select("display_name")).union(b.select("company")).union(c.select("institution")).filter("name is not null").distinct()
     norm = tx.employer_norm(F.col("name"))
     return names.select("name", tx.simple_key(F.col("name")).alias("simple"), norm.alias("norm"), F.lower(norm).alias("company"), tx.entity_stem(norm).alias("stem"))
 
@@ -109,10 +119,10 @@ def employer_totals(spark, folder):
 _SIBLINGS = f"""w AS (SELECT norm_name AS k, {_sql_stem(_sql_norm('display_name'))} AS w FROM rekeyed WHERE norm_name IS NOT NULL),
 sib AS (SELECT a.k AS norm_name, b.k AS sibling FROM w a JOIN w b ON a.k <> b.k AND len(a.w) > 0 AND len(b.w) > 0 AND (a.w = b.w OR
   (len(a.w) <> len(b.w) AND least(len(a.w), len(b.w)) >= 2
-   AND len(list_filter(CASE WHEN len(a.w) < len(b.w) THEN a.w ELSE b.w END, lambda t: t NOT IN ({_sql_list(em.GENERIC_WORDS)}))) > 0
+   AND len(list_filter(CASE WHEN len(a.w) < len(b.w) THEN a.w ELSE b.w END, lambda t: NOT list_contains({_SQL_GENERIC}, t))) > 0
    AND ((CASE WHEN len(a.w) < len(b.w) THEN b.w[1:len(a.w)] = a.w ELSE a.w[1:len(b.w)] = b.w END)
-     OR (CASE WHEN len(a.w) < len(b.w) THEN b.w[len(b.w) - len(a.w) + 1:] = a.w AND len(list_filter(b.w[1:len(b.w) - len(a.w)], lambda t: t NOT IN ({_sql_list(em.GENERIC_WORDS)}))) = 0
-              ELSE a.w[len(a.w) - len(b.w) + 1:] = b.w AND len(list_filter(a.w[1:len(a.w) - len(b.w)], lambda t: t NOT IN ({_sql_list(em.GENERIC_WORDS)}))) = 0 END)))))"""
+     OR (CASE WHEN len(a.w) < len(b.w) THEN b.w[len(b.w) - len(a.w) + 1:] = a.w AND len(list_filter(b.w[1:len(b.w) - len(a.w)], lambda t: NOT list_contains({_SQL_GENERIC}, t))) = 0
+              ELSE a.w[len(a.w) - len(b.w) + 1:] = b.w AND len(list_filter(a.w[1:len(a.w) - len(b.w)], lambda t: NOT list_contains({_SQL_GENERIC}, t))) = 0 END)))))"""
 
 
 @query(f"WITH {_REKEYED}, {_SIBLINGS} SELECT * FROM sib")
@@ -190,12 +200,12 @@ def _sql_title(c: str) -> str:
 
 _SQL_PLAIN = "regexp_replace(t, '[\\(\\[\\{][^\\)\\]\\}]*[\\)\\]\\}]', ' ', 'g')"
 _SQL_KEY = f"trim(regexp_replace(regexp_replace({_SQL_PLAIN}, '\\b(?:r|req|jr|job)?[-_]?\\d{{4,}}\\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
-_SQL_WORDS = f"array_to_string(list_filter(string_split({_SQL_KEY}, ' '), lambda w: w <> '' AND w NOT IN ({_sql_list(tx.TITLE_NOISE)})), ' ')"
+_SQL_WORDS = f"array_to_string(list_filter(string_split({_SQL_KEY}, ' '), lambda w: w <> '' AND w NOT IN {_SQL_NOISE}), ' ')"
 _SQL_TITLE_KEY = f"array_to_string(list_sort(list_distinct(list_filter(string_split(regexp_replace({_SQL_WORDS}, '(?:^| )(?:i{{1,3}}|iv|[1-4])(?: (?:i{{1,3}}|iv|[1-4]))*$', ''), ' '), lambda w: w <> ''))), ' ')"
 
 
 @query(f"""WITH {_POSTINGS}, n AS (SELECT posting_id, {_sql_title('title')} AS t FROM p)
-SELECT posting_id, t AS title_norm, nullif(upper(regexp_extract(trim(regexp_replace({_SQL_PLAIN}, '[,\\-/|]+', ' ', 'g')), '\\b((?:i{{1,3}}|iv|[1-4]))$', 1)), '') AS level, {_SQL_TITLE_KEY} AS title_key FROM n""")
+SELECT posting_id, t AS title_norm, CASE WHEN upper(regexp_extract(trim(regexp_replace({_SQL_PLAIN}, '[,\\-/|]+', ' ', 'g')), '\\b((?:i{{1,3}}|iv|[1-4]))$', 1)) IN ('II', 'III', 'IV', '2', '3', '4') THEN upper(regexp_extract(trim(regexp_replace({_SQL_PLAIN}, '[,\\-/|]+', ' ', 'g')), '\\b((?:i{{1,3}}|iv|[1-4]))$', 1)) END AS level, {_SQL_TITLE_KEY} AS title_key FROM n""")
 def title_keys(spark, folder):
     rows = table(spark, folder, "postings_raw").select("posting_id", "title").distinct()
     t = F.col("title")
@@ -209,7 +219,13 @@ def title_terms(spark, folder):
     return rows.select("posting_id", lexicon.first_term(tx.title_norm(F.col("title")), terms).alias("term"))
 
 
-_SQL_STATES = ", ".join(f"('{n}', '{c}')" for n, c in tx.STATES.items())
+_SQL_STATES = (
+    "('alabama', 'AL'), ('alaska', 'AK'), ('arizona', 'AZ'), ('arkansas', 'AR'), ('california', 'CA'), ('colorado', 'CO'), ('connecticut', 'CT'), ('delaware', 'DE'), ('florida', 'FL'), ('georgia', 'GA'), ('hawaii', 'HI'), ('idaho', 'ID'), "
+    "('illinois', 'IL'), ('indiana', 'IN'), ('iowa', 'IA'), ('kansas', 'KS'), ('kentucky', 'KY'), ('louisiana', 'LA'), ('maine', 'ME'), ('maryland', 'MD'), ('massachusetts', 'MA'), ('michigan', 'MI'), ('minnesota', 'MN'), ('mississippi', 'MS'), "
+    "('missouri', 'MO'), ('montana', 'MT'), ('nebraska', 'NE'), ('nevada', 'NV'), ('new hampshire', 'NH'), ('new jersey', 'NJ'), ('new mexico', 'NM'), ('new york', 'NY'), ('north carolina', 'NC'), ('north dakota', 'ND'), ('ohio', 'OH'), "
+    "('oklahoma', 'OK'), ('oregon', 'OR'), ('pennsylvania', 'PA'), ('rhode island', 'RI'), ('south carolina', 'SC'), ('south dakota', 'SD'), ('tennessee', 'TN'), ('texas', 'TX'), ('utah', 'UT'), ('vermont', 'VT'), ('virginia', 'VA'), "
+    "('washington', 'WA'), ('west virginia', 'WV'), ('wisconsin', 'WI'), ('wyoming', 'WY'), ('district of columbia', 'DC')"
+)
 
 
 @query(f"""WITH {_POSTINGS}, st(name, code) AS (VALUES {_SQL_STATES}), one AS (SELECT posting_id, trim(location_raw) AS l FROM p WHERE location_raw IS NOT NULL AND NOT regexp_matches(location_raw, '[;|/·•&+"''\\t\\n\\r]| and | or |,.*,')),
@@ -321,12 +337,11 @@ def numbers_in_texts(spark, folder):
     return rows.select("doc_id", F.size("n").cast("long").alias("numbers"), F.array_join(F.array_sort(F.array_distinct("n")), " ").alias("listed"))
 
 
-@query(r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '(\d{1,2})\+?(?:\s*(?:-|–|to)\s*\d{1,2})?\s*\+?\s*(?:years|yrs)', 1) AS n FROM documents)
-SELECT doc_id, list_min(list_filter(list_transform(n, lambda x: CAST(x AS BIGINT)), lambda x: x <= 20)) AS least_years FROM d""")
+@query()
 def least_years(spark, folder):
-    """The least number of years that a text names."""
-    found = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\d{1,2})\+?(?:\s*(?:-|–|to)\s*\d{1,2})?\s*\+?\s*(?:years|yrs)"), 1)
-    return table(spark, folder, "documents").select("doc_id", F.array_min(F.filter(F.transform(found, lambda x: x.cast("long")), lambda x: x <= 20)).alias("least_years"))
+    """The least number of years of experience that a text asks for."""
+    rows = spread_out(table(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", tx.years_required(F.col("text")).alias("least_years"))
 
 
 @query(r"""SELECT doc_id, nullif(lower(regexp_extract(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+', 0)), '') AS address FROM documents""")
@@ -346,11 +361,11 @@ def repeated_openings(spark, folder):
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'claims') AND contains(lower(text), 'reconcile') AND contains(lower(text), 'team')")
-def text_search(spark, folder):
+def text_search(spark, folder, words=("claims", "reconcile", "team")):
     """Texts that have all words of a query."""
     low = F.lower("text")
     rows = table(spark, folder, "documents")
-    for word in ("claims", "reconcile", "team"):
+    for word in words:
         rows = rows.filter(F.contains(low, F.lit(word)))
     return rows.select("doc_id")
 

@@ -141,9 +141,24 @@ def probes(landed: DataFrame, source: str) -> DataFrame:
     return landed.select("token", verdict.alias("verdict"), n.alias("postings"), reported.alias("reported"))
 
 
-def crawl_tokens(urls: DataFrame, source: str, stop: tuple[str, ...] = ("embed", "api", "v1", "robots.txt", "static")) -> DataFrame:
+# First steps of an address that are no board.
+NO_BOARD = (
+    "embed static assets images img css js favicon.ico "
+    "robots.txt sitemap.xml api app login signup search "
+    "jobs job careers privacy terms error 404 index.html"
+).split()
+
+
+def crawl_tokens(urls: DataFrame, source: str, stop: tuple[str, ...] = tuple(NO_BOARD)) -> DataFrame:
     """``source, token`` of a URL index: the first step of each address, lower case but for a system that tells case apart."""
     token = F.regexp_extract("url", r"^https?://[^/]+/([^/?#]+)", 1)
     token = token if source == "ashby" else F.lower(token)
     out = urls.select(F.lit(source).alias("source"), token.alias("token"))
-    return out.filter(F.col("token").rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]*$") & ~F.lower("token").isin(*stop)).distinct()
+    return out.filter(F.col("token").rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]{1,60}$") & ~F.lower("token").isin(*stop)).distinct()
+
+
+def require_tokens(tokens: DataFrame) -> DataFrame:
+    """The tokens of a crawl, or an error if it brought none, which means that the index couldn't be read."""
+    if tokens.isEmpty():
+        raise ValueError("the crawl brought no token")
+    return tokens
