@@ -27,7 +27,7 @@ def country_words(spark: SparkSession) -> tuple[list[str], list[str]]:
     """Names and two-letter codes, in lower case, of all countries but the United States."""
     locale = spark.sparkContext._jvm.java.util.Locale
     codes = [c for c in locale.getISOCountries() if c != "US"]
-    return [locale.of("", c).getDisplayCountry(locale.ENGLISH).lower() for c in codes], [c.lower() for c in codes]
+    return [locale("", c).getDisplayCountry(locale.ENGLISH).lower() for c in codes], [c.lower() for c in codes]
 
 
 def _any(words: Iterable[str], edge: str = "a-z") -> str:

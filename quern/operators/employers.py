@@ -27,6 +27,24 @@ def fold_filings(rows: DataFrame, name: str, counts: dict[str, Column], decided:
     return totals.join(named, "norm_name", "left").withColumn("states", F.coalesce("states", F.lit("")))
 
 
+def filing_counts(status: Column, occupation: Column, analysts: tuple[str, ...]) -> dict[str, Column]:
+    """What a filing adds to its employer's counts: certified, also if withdrawn later, certified for one of the occupations by their base codes, and denied."""
+    from quern.functions.text import occupation_base
+
+    state = F.upper(F.trim(F.coalesce(status, F.lit(""))))
+    certified = state.startswith("CERTIFIED")
+    return {"certified": certified.cast("int"), "analyst_certified": (certified & occupation_base(occupation).isin(*analysts)).cast("int"), "denied": state.startswith("DENIED").cast("int")}
+
+
+def latest_files(files: DataFrame, years: int = 2) -> DataFrame:
+    """``fiscal_year, quarter, name, url`` of the newest years' files, each year's by the highest quarter; a name without a quarter is a whole year's, one without a year is passed over."""
+    year = F.regexp_extract("name", r"FY(\d{4})", 1).try_cast("int")
+    quarter = F.coalesce(F.regexp_extract("name", r"FY\d{4}_Q(\d)", 1).try_cast("int"), F.lit(4))
+    rows = files.select(year.alias("fiscal_year"), quarter.alias("quarter"), "name", "url").filter("fiscal_year is not null")
+    best = rows.groupBy("fiscal_year").agg(F.max_by(F.struct("quarter", "name", "url"), F.struct(F.col("quarter"), F.col("name"))).alias("f"))
+    return best.select("fiscal_year", "f.*").orderBy(F.desc("fiscal_year")).limit(years)
+
+
 def rekey(employers: DataFrame) -> DataFrame:
     """Statistics under the normalised display name; the spelling with most filings names the merged row."""
     key = F.coalesce(F.nullif(employer_norm(F.col("display_name")), F.lit("")), F.col("norm_name"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 def age_days(at: Column, now: Column) -> Column:
     """Whole days between an instant and ``now``, none below 0; null without an instant."""
-    return F.greatest(F.lit(0), F.floor((F.unix_timestamp(now) - F.unix_timestamp(at)) / 86400)).cast("long")
+    return F.when(at.isNotNull(), F.greatest(F.lit(0), F.floor((F.unix_timestamp(now) - F.unix_timestamp(at)) / 86400))).cast("long")
 
 
 def pending(rows: DataFrame, status: str, updated: str, now: Column, waiting: Sequence[str], working: str, minutes: int) -> DataFrame:

@@ -108,7 +108,7 @@ def place_parses(spark, folder):
     return rows.select("posting_id", x.alias("x")).select("posting_id", "x.is_us", "x.is_remote", "x.is_hybrid", "x.confidence", F.col("x.primary").alias("place"))
 
 
-@query("SELECT DISTINCT posting_id, CAST(greatest(0, floor((epoch(TIMESTAMPTZ '2026-06-01 00:00:00+00') - floor(epoch(CAST(posted_at AS TIMESTAMPTZ)))) / 86400)) AS BIGINT) AS days FROM postings_raw")
+@query("SELECT DISTINCT posting_id, CASE WHEN posted_at IS NOT NULL THEN CAST(greatest(0, floor((epoch(TIMESTAMPTZ '2026-06-01 00:00:00+00') - floor(epoch(CAST(posted_at AS TIMESTAMPTZ)))) / 86400)) AS BIGINT) END AS days FROM postings_raw")
 def posting_ages(spark, folder):
     """Whole days from posting to the first of June 2026."""
     rows = table(spark, folder, "postings_raw").select("posting_id", "posted_at").distinct()

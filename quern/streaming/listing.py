@@ -10,18 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quern.operators.dedupe import last_wins
+from quern.operators.dedupe import first_wins, last_wins
 from quern.operators.listing import merge_runs
 
 
-def _versions(spark: SparkSession, folder: str) -> list[int]:
+def _versions(spark: SparkSession, folder: str, mark: str = "v=") -> list[int]:
     jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
     path = jvm.Path(folder)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return []
-    done = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("v=")]
-    return sorted(int(p.getName()[2:]) for p in done if fs.exists(jvm.Path(p, "_SUCCESS")))
+    done = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith(mark)]
+    return sorted(int(p.getName()[len(mark) :]) for p in done if fs.exists(jvm.Path(p, "_SUCCESS")))
 
 
 def read_versioned(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
@@ -47,11 +47,29 @@ def stream_store(rows: DataFrame, folder: str, checkpoint: str, key: str, at: st
         merged = merge_runs(held, latest, key, F.col(day)).join(span, key, "left")
         merged = merged.withColumn("first_seen", F.least("first_seen", "__first")).withColumn("last_seen", F.greatest("last_seen", "__last")).drop("__first", "__last")
         merged.write.mode("overwrite").parquet(f"{folder}/v={number}")
+        # the one before serves a batch that runs again; older ones serve nobody
+        for v in _versions(spark, folder)[:-2]:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/v={v}")
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     return rows.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_ledger(rows: DataFrame, folder: str, checkpoint: str, keys: list[str], at: str, delay: str) -> StreamingQuery:
-    """Appends the first row of each key that comes within ``delay`` of the newest; repeats are dropped."""
-    fresh = rows.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
-    return fresh.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+def stream_ledger(rows: DataFrame, folder: str, checkpoint: str, keys: list[str], at: str) -> StreamingQuery:
+    """Appends the first row of each key that the ledger doesn't have, however long ago it came.
+
+    The ledger itself is the state: a batch is joined with the keys that earlier
+    batches wrote, so nothing is forgotten and nothing kept in memory.  A batch that runs
+    again after a loss replaces its own part.
+    """
+
+    def fold(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        fresh = first_wins(batch, keys, [F.col(at), F.xxhash64(*batch.columns)])
+        earlier = [f"{folder}/batch={v}" for v in _versions(spark, folder, "batch=") if v < number]
+        if earlier:
+            known = spark.read.schema(batch.schema).parquet(*earlier).select(*keys).distinct()
+            fresh = fresh.join(known, keys, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return rows.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
