@@ -221,7 +221,8 @@ def entity_links(boards: DataFrame, postings: DataFrame, employers: DataFrame) -
         parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return names.repartition(parts).select(name, F.col("proper").alias(f"p{name}"), F.explode(F.array_union(any_, same)).alias("key"))
 
-    met = keys("l", "a").join(keys("r", "b"), "key").select("a", "b", "pa", "pb").distinct()
+    met = keys("l", "a").join(keys("r", "b").hint("merge"), "key")  # a planner that knows the sizes before the explode would broadcast
+    met = met.select("a", "b", "pa", "pb").distinct()
     near = met.withColumn("edits", edits(F.col("pa"), F.col("pb"))).groupBy("a", "b").agg(F.min("edits").alias("edits")).filter("edits is not null")
 
     def said(scope: str, name: str) -> DataFrame:

@@ -18,7 +18,7 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from quern.operators.components import components
 from quern.session import counted, written
@@ -34,6 +34,7 @@ LEGAL_FORMS = {
     "INC": "INC", "INCORPORATED": "INC", "CORP": "CORP", "CORPORATION": "CORP", "CO": "CO", "COMPANY": "CO", "LTD": "LTD", "LIMITED": "LTD",
     "LLC": "LLC", "LP": "LP", "LLP": "LP", "PLC": "LTD", "GMBH": "LTD",
 }
+FORMS = sorted(set(LEGAL_FORMS.values()))
 # Usual short forms that the rule of `_shortened` doesn't settle.
 SHORT_WORDS = {
     "CAP": "CAPITAL", "CHILD": "CHILDRENS", "CHILDREN": "CHILDRENS", "CENTRE": "CENTER", "FRT": "FREIGHT", "INS": "INSURANCE", "INST": "INSTITUTE", "LAB": "LABORATORIES",
@@ -257,7 +258,7 @@ def _pairs(fresh: DataFrame, known: DataFrame) -> DataFrame:
 
     x, y = keys(fresh).toDF("a", "abare", "key"), keys(known).toDF("b", "bbare", "key")
     # of a bare name and another the bare one comes first; either end of two alike may be fresh
-    met = x.join(y, "key").filter(F.col("a") != F.col("b"))
+    met = x.join(y.hint("merge"), "key")  # a planner that knows the sizes before the explode would broadcast.filter(F.col("a") != F.col("b"))
     turn = (F.col("bbare") & ~F.col("abare")) | ((F.col("abare") == F.col("bbare")) & (F.col("a") > F.col("b")))
     met = met.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b")).distinct()
     side = lambda c: known.select(*[F.col(k).alias(f"{c}_{k}" if k != "id" else c) for k in ("id", "kind", "trade", "proper")])
@@ -290,43 +291,40 @@ def resolve(records: DataFrame, most_rounds: int = 8) -> DataFrame:
     rows = written(rows.withColumn("main", F.xxhash64("scope", "kind", "trade", "form", "first")), "names")
     names = rows.select("id", "scope", "kind", "trade", "proper").distinct()
     links = rows.filter("id <> main").select(F.col("id").alias("a"), F.col("main").alias("b"))
+    owned = rows.filter("id = main").groupBy("id").agg(F.sum("weight").alias("total"), *[F.sum(F.when(F.col("legal") == f, F.col("weight"))).alias(f"w_{f}") for f in FORMS], F.flatten(F.collect_set("initials")).alias("initials"))
     fresh = names
-    owned = rows.filter("id = main").select("id", "legal", "weight", "initials")
     for _ in range(most_rounds):
         pairs = written(_pairs(fresh, names), "pairs")
         links = links.unionByName(pairs.filter("sort = 's'").select("a", "b"))
-        roots = components(links).toDF("id", "root")
-        held = written(names.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "profiles")
-        root = held.select("id", "root")
+        held = names.join(components(links).toDF("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        # what a profile's records say together; it is bare if none of a firm's has a trade
+        told = held.join(owned, "id", "left").groupBy("root").agg(
+            (F.max("trade") == "").alias("no_trade"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.flatten(F.collect_set("initials")).alias("initials"), *[F.coalesce(F.sum(f"w_{f}"), F.lit(0)).alias(f"w_{f}") for f in FORMS]
+        )
+        form = F.coalesce(*[F.when(F.col(f"w_{f}") > 0, f) for f in FORMS], F.lit(""))
+        seen = Observation()
+        held = held.join(told, "root").withColumns({"bare": F.col("no_trade") & (F.col("kind") == "FIRM"), "form": form}).drop("no_trade")
+        held = written(held.observe(seen, F.count_if(F.exists("initials", lambda i: i.startswith("="))).alias("short")), "profiles")
+        ends = lambda c: held.select(F.col("id").alias(c), *[F.col(k).alias(f"{c}_{k}") for k in ("root", "bare", "form", "total", *[f"w_{f}" for f in FORMS])])
         # profiles of a firm's bare name choose one with a trade
-        traded = held.groupBy("root").agg(F.max((F.col("trade") != "").cast("int")).alias("traded"), F.min("kind").alias("kind"), F.min("scope").alias("scope"))
-        forms = owned.join(root, "id").groupBy("root", "legal").agg(F.sum("weight").alias("w"))
-        sizes = forms.groupBy("root").agg(F.sum("w").alias("total"), F.max("legal").alias("legal"))
-        bare = traded.filter("traded = 0 and kind = 'FIRM'").join(sizes.select("root", "legal"), "root", "left").select("scope", F.col("root").alias("bare"), F.coalesce("legal", F.lit("")).alias("form"))
-        near = pairs.filter("sort = 'c'").join(root.toDF("a", "bare"), "a").join(bare, "bare").join(root.toDF("b", "root"), "b").groupBy("bare", "form", "root").agg(F.min("edits").alias("edits"))
-        near = near.join(sizes.select("root", "total"), "root", "left").join(forms.select("root", F.col("legal").alias("form"), "w"), ["root", "form"], "left")
-        order = F.struct(-F.col("edits"), F.when(F.col("form") != "", F.coalesce("w", F.lit(0))).otherwise(0), F.coalesce("total", F.lit(0)), F.col("root"))
-        chosen = near.groupBy("bare").agg(F.max_by("root", order).alias("b"))
-        # nothing but initials: the one profile that has them
-        short = owned.select("id", F.explode("initials").alias("i")).join(root, "id").select("root", "i").distinct()
-        seek = short.filter(F.col("i").startswith("=")).select(F.col("root").alias("bare"), F.substring("i", 2, 5).alias("i")).join(bare, "bare").join(chosen, "bare", "left_anti")
-        have = short.filter(~F.col("i").startswith("=")).join(traded.select("root", "scope"), "root")
-        other = forms.filter("legal <> ''").select("root", F.col("legal").alias("other"))
-        fits = seek.join(have, ["i", "scope"]).filter("bare <> root").join(other, "root", "left").groupBy("bare", "form", "root").agg(F.max((F.col("other") == F.col("form")).cast("int")).alias("same"), F.count("other").alias("n"))
-        fits = fits.filter("form = '' or n = 0 or same = 1").groupBy("bare").agg(F.min("root").alias("b"), F.count("*").alias("c")).filter("c = 1").select("bare", "b")
-        chosen = chosen.unionByName(fits)
+        met = pairs.filter("sort <> 's'").join(ends("a"), "a").join(ends("b"), "b").filter("a_bare")
+        same_form = F.coalesce(*[F.when(F.col("a_form") == f, F.col(f"b_w_{f}")) for f in FORMS], F.lit(0))
+        order = F.struct(-F.col("edits"), same_form, F.col("b_total"), F.col("b_root"))
+        chosen = met.filter("sort = 'c' and not b_bare").groupBy(F.col("a_root").alias("a")).agg(F.max_by("b_root", order).alias("b"))
+        if seen.get["short"]:
+            chosen = written(chosen, "chosen")
+            chosen = chosen.unionByName(_by_initials(held, chosen))
+        chosen = written(chosen, "chosen")
         # those that have no choice are one organisation by their name
-        alone = bare.join(chosen, "bare", "left_anti").select("bare")
-        both = pairs.filter("sort = 'b'").join(root.toDF("a", "bare"), "a").join(alone, "bare").join(root.toDF("b", "r"), "b").join(alone.toDF("r"), "r", "left_semi")
-        new = written(chosen.select(F.col("bare").alias("a"), "b").unionByName(both.select(F.col("bare").alias("a"), F.col("r").alias("b"))), "merges")
-        links = written(links.unionByName(new), "links")
-        merged = components(new).toDF("root", "top")
-        held = written(held.join(merged, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top"), "merged")
+        free = met.filter("sort = 'b' and b_bare").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()
+        free = free.join(chosen.select("a"), "a", "left_anti").join(chosen.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b")
+        links = written(links.unionByName(chosen).unionByName(free), "links")
+        merged = components(chosen.unionByName(free)).toDF("root", "top")
+        held = written(held.select("id", "root", "scope", "kind", "trade", "proper").join(merged, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top"), "merged")
         # a profile's names with its trades that it didn't have so far
-        also = held.filter("kind = 'FIRM'").groupBy("root").agg(F.collect_set("trade").alias("trades"), F.count_distinct("trade").alias("n")).filter("n > 1").select("root", F.explode("trades").alias("trade")).filter("trade <> ''")
-        anew = held.filter("kind = 'FIRM'").select("root", "scope", "kind", "proper").distinct().join(also, "root")
-        anew = anew.join(held.filter("trade <> ''").select("root", "trade", "proper"), ["root", "trade", "proper"], "left_anti")
-        anew = anew.withColumn("id", F.xxhash64("scope", "kind", "trade", F.lit(""), "proper")).select("id", "root", "scope", "kind", "trade", "proper")
+        firms = held.filter("kind = 'FIRM'").groupBy("root", "scope").agg(F.collect_set("trade").alias("trades"), F.collect_set("proper").alias("propers"), F.collect_set(F.struct("trade", "proper")).alias("had")).filter(F.size("trades") > 1)
+        anew = firms.withColumn("trade", F.explode("trades")).withColumn("proper", F.explode("propers")).filter((F.col("trade") != "") & ~F.array_contains("had", F.struct("trade", "proper")))
+        anew = anew.select(F.xxhash64("scope", F.lit("FIRM"), "trade", F.lit(""), "proper").alias("id"), "root", "scope", F.lit("FIRM").alias("kind"), "trade", "proper")
         anew, n = counted(anew, "anew")
         if not n:
             return rows.filter("id = main").join(held.select("id", "root"), "id").select("node", "root").distinct()
@@ -336,6 +334,17 @@ def resolve(records: DataFrame, most_rounds: int = 8) -> DataFrame:
     raise RuntimeError("the profiles did not settle")
 
 
+def _by_initials(held: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``a, b``: bare profiles that have nothing but initials and no choice, and the one profile that has these and no other legal form alone."""
+    profiles = held.groupBy("root", "scope", "bare", "form").agg(F.first("initials").alias("initials"), *[F.first(f"w_{f}").alias(f"w_{f}") for f in FORMS])
+    each = profiles.select("*", F.explode(F.array_distinct("initials")).alias("i"))
+    seek = each.filter(F.col("bare") & F.col("i").startswith("=")).select(F.col("root").alias("a"), "scope", F.col("form").alias("own"), F.substring("i", 2, 5).alias("i")).join(chosen.select("a"), "a", "left_anti")
+    both = seek.join(each.filter(~F.col("i").startswith("=")), ["scope", "i"]).filter("a <> root")
+    fits = (F.col("own") == "") | (F.col("form") == "") | F.coalesce(*[F.when(F.col("own") == f, F.col(f"w_{f}") > 0) for f in FORMS], F.lit(False))
+    one = both.filter(fits).groupBy("a").agg(F.min("root").alias("b"), F.count_distinct("root").alias("n"))
+    return one.filter("n = 1").select("a", "b")
+
+
 def name_nodes(texts: DataFrame) -> DataFrame:
     """``text, node, parts...`` for ``texts(text, weight)``; names without a proper name are left out.
 
