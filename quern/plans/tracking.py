@@ -265,3 +265,100 @@ def slug_candidates(spark, folder):
     """The names that a company's board may have, the likeliest first."""
     rows = table(spark, folder, "boards").filter("company is not null").select("company").distinct().filter(tx.employer_norm(F.col("company")) != "")
     return rows.select("company", F.array_join(tx.slug_candidates(F.col("company")), " ").alias("slugs"))
+
+
+@query(f"""WITH p AS (SELECT DISTINCT posting_id, source, {_TOKEN} AS token FROM postings_raw), b AS (SELECT lower(source) AS source, lower(token) AS token, min(board_key) AS board_key FROM boards GROUP BY 1, 2),
+s AS (SELECT * FROM (VALUES ('greenhouse', true, false), ('lever', true, false), ('ashby', true, false), ('smartrecruiters', true, true), ('workday', false, true)) v(source, closes_by_absence, needs_details))
+SELECT posting_id, board_key, closes_by_absence, needs_details FROM p LEFT JOIN b USING (source, token) LEFT JOIN s USING (source)""")
+def posting_boards(spark, folder):
+    """Every posting with its board and what its system can do."""
+    from quern.sources.landed import systems
+
+    p, b = tables(spark, folder, "postings_raw", "boards")
+    rows = p.select("posting_id", "source", "url").distinct().select("posting_id", "source", tx.posting_address(F.col("url"))["token"].alias("token"))
+    keys = b.groupBy(F.lower("source").alias("source"), F.lower("token").alias("token")).agg(F.min("board_key").alias("board_key"))
+    # a row per system
+    return rows.join(keys, ["source", "token"], "left").join(F.broadcast(systems(spark)), "source", "left").select("posting_id", "board_key", "closes_by_absence", "needs_details")
+
+
+@query(f"""WITH p AS (SELECT DISTINCT posting_id, source, title, company_name, {_AT} AS ad, CAST(posted_at AS TIMESTAMPTZ) AS posted FROM postings_raw), q AS (SELECT DISTINCT {_AT} AS ad FROM queue_entries)
+SELECT posting_id, p.ad IN (SELECT ad FROM q) AS tracked FROM p WHERE source IN ('lever', 'ashby', 'workday') AND posted IS NOT NULL AND greatest(0, floor((epoch(TIMESTAMPTZ '2026-06-01 00:00:00+00') - floor(epoch(posted))) / 86400)) <= 90
+AND contains(lower(coalesce(title, '') || ' ' || coalesce(company_name, '')), 'analyst')""")
+def feed_filtered(spark, folder, sources=("lever", "ashby", "workday"), days=90, words="analyst"):
+    """Dated postings of some systems, of the last days, that have all words of a query, and whether an entry tracks them."""
+    at = lambda: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(F.coalesce("url", F.lit(""))), r"[?#].*$", ""), "/+$", ""), r"^(?i)https?://", "")
+    p, q = tables(spark, folder, "postings_raw", "queue_entries")
+    low = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("company_name", F.lit(""))))
+    age = tr.age_days(F.try_to_timestamp("posted_at"), F.lit("2026-06-01T00:00:00Z").cast("timestamp"))
+    rows = p.select("posting_id", "source", "title", "company_name", "url", "posted_at").distinct().filter(F.col("source").isin(*sources) & (age <= days) & (tr.search_score(low, F.lit(words)) == 100))
+    tracked = q.select(at().alias("at")).distinct().withColumn("tracked", F.lit(True))
+    return rows.select("posting_id", at().alias("at")).join(tracked, "at", "left").select("posting_id", F.coalesce("tracked", F.lit(False)).alias("tracked"))
+
+
+@query(f"WITH {_QUEUE} SELECT entry_id, row_number() OVER (ORDER BY CASE WHEN status = 'failed' THEN 1 ELSE 0 END, CASE WHEN coalesce(trim(company), '') = '' THEN 1 ELSE 0 END, lower(trim(coalesce(company, ''))), entry_id) AS place FROM q")
+def queue_ordered(spark, folder):
+    """Entries by company, those without one and then the failed ones last."""
+    low = F.lower(F.trim(F.coalesce("company", F.lit(""))))
+    order = [(F.coalesce(F.col("status") == "failed", F.lit(False))).cast("int"), (low == "").cast("int"), low, F.col("entry_id")]
+    return dedupe.number_rows(_queue(spark, folder).select("entry_id", "status", "company"), order, "place").select("entry_id", "place")
+
+
+@query("WITH c AS (SELECT DISTINCT contact_id, certified, institution FROM contacts) SELECT contact_id, row_number() OVER (ORDER BY certified DESC NULLS LAST, institution NULLS LAST, contact_id) AS place FROM c")
+def contacts_ordered(spark, folder):
+    """Contacts by filings, most first, then by institution."""
+    rows = table(spark, folder, "contacts").select("contact_id", "certified", "institution").distinct()
+    return dedupe.number_rows(rows, [dedupe.desc(F.col("certified")), F.col("institution"), F.col("contact_id")], "place").select("contact_id", "place")
+
+
+@query(f"WITH {_QUEUE} SELECT count(*) AS entries, count(*) FILTER (status = 'queued') AS queued, count(*) FILTER (status = 'briefed') AS briefed, count(*) FILTER (status = 'writing') AS writing, count(*) FILTER (status = 'ready') AS ready, count(*) FILTER (status = 'failed') AS failed FROM q")
+def queue_counts(spark, folder):
+    """Entries by status, in one pass."""
+    states = ("queued", "briefed", "writing", "ready", "failed")
+    return _queue(spark, folder).agg(F.count("*").alias("entries"), *[F.count_if(F.col("status") == s).alias(s) for s in states])
+
+
+@query("WITH r AS (SELECT DISTINCT run_no, lower(board_key) AS b, attempt, error FROM run_reports) SELECT run_no, trim(split_part(error, ':', 1)) AS reason, count(*) AS times FROM r WHERE trim(error) <> '' GROUP BY 1, 2")
+def errors_by_reason(spark, folder):
+    """How often each run failed for what reason, the part of the error before a colon."""
+    rows = table(spark, folder, "run_reports").select("run_no", F.lower("board_key").alias("b"), "attempt", "error").distinct().filter(F.trim("error") != "")
+    return rows.groupBy("run_no", F.trim(F.split_part("error", F.lit(":"), F.lit(1))).alias("reason")).agg(F.count("*").alias("times"))
+
+
+@query("WITH c AS (SELECT DISTINCT contact_id, author_position, sector, certified FROM contacts) SELECT contact_id FROM c WHERE author_position IN ('first author', 'PI') AND sector IN ('education', 'healthcare') AND coalesce(certified, 0) >= 1")
+def academic_authors(spark, folder, sectors="academic", least=1):
+    """First and last authors at schools and hospitals with filings."""
+    from quern.sources.landed import types_for
+
+    rows = table(spark, folder, "contacts").select("contact_id", "author_position", "sector", "certified").distinct()
+    return rows.filter(F.col("author_position").isin("first author", "PI") & F.col("sector").isin(*types_for(sectors)) & (F.coalesce("certified", F.lit(0)) >= least)).select("contact_id")
+
+
+@query("""WITH b AS (SELECT DISTINCT board_id, company FROM boards), e AS (SELECT display_name, max(coalesce(certified, 0)) AS n FROM employers GROUP BY 1), a AS (SELECT display_name, max(coalesce(certified, 0)) AS n FROM employer_aggs GROUP BY 1)
+SELECT board_id, coalesce(e.n, a.n)::BIGINT AS certified, CASE WHEN e.n IS NOT NULL THEN 'employers' WHEN a.n IS NOT NULL THEN 'years' END AS said_by FROM b LEFT JOIN e ON e.display_name = b.company LEFT JOIN a ON a.display_name = b.company""")
+def company_facts(spark, folder):
+    """The filings of every board's company as it stands: from the employers, else from the yearly rows."""
+    b, e, a = tables(spark, folder, "boards", "employers", "employer_aggs")
+    most = lambda t, n: t.groupBy(F.col("display_name").alias("company")).agg(F.max(F.coalesce("certified", F.lit(0))).cast("long").alias(n))
+    rows = b.select("board_id", "company").distinct().join(most(e, "e"), "company", "left").join(most(a, "a"), "company", "left")
+    return rows.select("board_id", F.coalesce("e", "a").alias("certified"), F.when(F.col("e").isNotNull(), "employers").when(F.col("a").isNotNull(), "years").alias("said_by"))
+
+
+@query("""WITH e AS (SELECT posting_id, list_distinct(list(lower(trim(skill_text)))) AS s FROM skill_entries WHERE skill_text IS NOT NULL GROUP BY 1), k AS (SELECT list(lower(canonical)) AS k FROM skills)
+SELECT posting_id, array_to_string(list_sort(list_filter(s, lambda x: list_contains(k, x) AND x NOT IN ('gridwright', 'lumenchart', 'route costing'))), '; ') AS missing FROM e, k""")
+def skills_missing(spark, folder, profile=("gridwright", "lumenchart", "route costing")):
+    """The known skills that a posting asks for and a profile lacks, in order."""
+    known = [r[0].lower() for r in table(spark, folder, "skills").select("canonical").collect()]  # a list written by people
+    rows = table(spark, folder, "skill_entries").filter("skill_text is not null").select("posting_id", F.lower(F.trim("skill_text")).alias("s")).distinct()
+    # only known skills are kept, so a posting's set is bounded by the list
+    asked = rows.groupBy("posting_id").agg(F.collect_set(F.when(F.col("s").isin(known), F.col("s"))).alias("s"))
+    return asked.select("posting_id", F.array_join(F.array_sort(F.array_except("s", F.array(*map(F.lit, profile)))), "; ").alias("missing"))
+
+
+@query("""WITH c AS (SELECT DISTINCT contact_id, nullif(trim(orcid), '') AS o, lower(trim(person)) || '|' || lower(trim(institution)) AS k, author_position = 'PI' AS own FROM contacts WHERE author_position IS NOT NULL), m AS (SELECT * FROM c WHERE NOT own)
+SELECT contact_id, coalesce(o IN (SELECT o FROM m WHERE o IS NOT NULL), false) OR coalesce(k IN (SELECT k FROM m WHERE k IS NOT NULL), false) AS known FROM c WHERE own""")
+def people_either(spark, folder):
+    """Last authors that are first authors too, by number or by name and institution: two equality joins."""
+    rows = table(spark, folder, "contacts").select("contact_id", F.trim("orcid").alias("o"), F.concat(F.lower(F.trim("person")), F.lit("|"), F.lower(F.trim("institution"))).alias("k"), (F.col("author_position") == "PI").alias("own")).filter("own is not null").distinct()
+    merged = rows.filter("not own").select(F.col("o").alias("ro"), F.col("k").alias("rk"), F.col("contact_id").alias("other"))
+    out = tr.joined_by_any(rows.filter("own"), merged, "contact_id", [("orcid", F.col("o"), F.col("ro")), ("name", F.col("k"), F.col("rk"))], "other")
+    return out.select("contact_id", F.col("other").isNotNull().alias("known"))

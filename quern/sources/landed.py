@@ -162,3 +162,37 @@ def require_tokens(tokens: DataFrame) -> DataFrame:
     if tokens.isEmpty():
         raise ValueError("the crawl brought no token")
     return tokens
+
+
+WORKS = "results ARRAY<STRUCT<id: STRING, title: STRING, publication_date: STRING, authorships: ARRAY<STRUCT<author_position: STRING, author: STRUCT<id: STRING, display_name: STRING, orcid: STRING>, institutions: ARRAY<STRUCT<display_name: STRING, country_code: STRING, type: STRING>>>>>>"
+
+
+def authorships(landed: DataFrame, country: str = "US", positions: tuple[str, ...] = ("first", "last"), types: tuple[str, ...] = ()) -> DataFrame:
+    """A row per author and institution of landed publications: of a country, of some positions, and of some types of institution if any are named."""
+    work = landed.select(F.explode(F.from_json("body", WORKS)["results"]).alias("w"))
+    author = work.select("w.id", "w.title", "w.publication_date", F.posexplode("w.authorships").alias("author_no", "a"))
+    rows = author.select("*", F.explode("a.institutions").alias("i")).filter((F.col("i.country_code") == country) & F.col("a.author_position").isin(*positions))
+    rows = rows.filter(F.col("i.type").isin(*types)) if types else rows
+    return rows.select(F.col("id").alias("work"), "title", "publication_date", "author_no", "a.author_position", F.col("a.author.id").alias("author"), F.col("a.author.display_name").alias("person"), "a.author.orcid", F.col("i.display_name").alias("institution"), "i.type")
+
+
+# Types of institution by sector, and the sectors where none is asked for.
+SECTORS = {"industry": ("company",), "nonprofit": ("nonprofit",), "academic": ("education", "healthcare"), "government": ("government", "facility")}
+DEFAULT_SECTORS = ("industry", "nonprofit")
+
+
+def types_for(sectors: str) -> tuple[str, ...]:
+    """The types of institution of a comma list of sectors: none, which is all, for 'any'; the default's where no sector is known."""
+    asked = [s.strip().lower() for s in (sectors or "").split(",")]
+    if "any" in asked:
+        return ()
+    known = [s for s in asked if s in SECTORS] or list(DEFAULT_SECTORS)
+    return tuple(dict.fromkeys(t for s in known for t in SECTORS[s]))
+
+
+def one_posting(postings: DataFrame, url: str) -> DataFrame:
+    """The posting that an address leads to, with the board and number read from it; its details need no other posting's."""
+    from quern.functions.text import posting_address
+
+    at = posting_address(F.lit(url))
+    return postings.filter((F.lower("token") == at["token"]) & (F.col("external_id") == at["id"]))

@@ -191,3 +191,48 @@ def test_queries_on_empty_tables(spark, tmp_path):
         spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     for name, f in plans.QUERIES.items():
         assert f(spark, str(tmp_path)).count() == 0, name
+
+
+def test_ledgers_and_sheets(spark, tmp_path):
+    from quern.sources import ledger
+
+    at = lambda n: str(tmp_path / n)
+    assert ledger.read_aliases(spark, at("none")).count() == 0 and ledger.read_ledger(spark, at("none")).count() == 0 and ledger.read_backup(spark, [at("none")]).count() == 0
+    (tmp_path / "aliases.csv").write_text("company,employer\nAcme Inc.,Orchard Holdings LLC\n,x\n")
+    assert [tuple(r) for r in ledger.read_aliases(spark, at("aliases.csv")).collect()] == [("ACME", "ORCHARD HOLDINGS")]
+    people = spark.createDataFrame([("Ada, L", "Acme", "A@x.org"), ("Bo", "ABB", None)], "name string, company string, email string")
+    ledger.append_ledger(people, at("ledger"), "2026-05-01")
+    ledger.append_ledger(people.limit(1), at("ledger"), "2026-05-09")
+    assert {(r.key, r.name, r.sent) for r in ledger.read_ledger(spark, at("ledger")).collect()} == {("a@x.org", "Ada, L", "2026-05-09"), ("bo|abb", "Bo", "2026-05-01")}
+    (tmp_path / "b.json").write_text('{"sent": [{"name": "Cy", "company": "X"}], "dead": null}')
+    assert [r.key for r in ledger.read_backup(spark, [at("b.json"), at("none")]).collect()] == ["cy|x"]
+    (tmp_path / "sheet.csv").write_text('My list,,\nFirst Name,Employer,Status\nAda,"Acme, Inc",sent\n,,\nBo,ABB,\n')
+    assert [(r.row, r.first_name, r.company, r.skip) for r in ledger.read_sheet(spark, at("sheet.csv")).orderBy("row").collect()] == [(3, "Ada", "Acme, Inc", "status is sent"), (5, "Bo", "ABB", "")]
+    (tmp_path / "bad.csv").write_text("a,b\n")
+    with pytest.raises(ValueError):
+        ledger.read_sheet(spark, at("bad.csv"))
+    text = ledger.batch_text(people, ("company", "email"))
+    got = ledger.read_batch(text.select(F.concat("text", F.lit("Dear friend,\n\nhello")).alias("text")), ("company", "email")).collect()
+    assert sorted(tuple(r) for r in got) == [("Ada, L", "Acme", "A@x.org", "Dear friend,\n\nhello"), ("Bo", "ABB", "", "Dear friend,\n\nhello")]
+    ledger.write_template(spark, at("t"))
+    assert spark.read.csv(at("t")).first()[0] == "first_name"
+
+
+def test_probes_and_works(spark):
+    import json
+
+    from quern.sources import ledger
+
+    wanted = spark.createDataFrame([("Acme", "lever", "acme", 1), ("Acme", "ashby", "acme", 1), ("Bolt", "lever", "bolt", 1)], "company string, source string, slug string, slug_no int")
+    held = spark.createDataFrame([("Acme", "lever", "acme", "confirmed", 3, "Zebra Works", ""), ("Acme", "ashby", "acme", "confirmed", 3, None, "")], ledger.PROBES)
+    known, todo = ledger.split_probes(wanted, held)
+    assert [r.company for r in todo.collect()] == ["Bolt"]
+    named = ledger.named_probes(known)
+    assert {(r.source, r.verdict) for r in named.collect()} == {("lever", "name-mismatch"), ("ashby", "confirmed")}
+    assert [tuple(r) for r in ledger.first_confirmed(named, ("lever", "ashby")).collect()] == [("Acme", "ashby", "acme")]
+    body = {"results": [{"id": "w", "title": "t", "publication_date": "2026-01-01", "authorships": [{"author_position": p, "author": {"id": p, "display_name": p.upper(), "orcid": None}, "institutions": [{"display_name": "I", "country_code": c, "type": "education"}]} for p, c in (("first", "US"), ("middle", "US"), ("last", "DE"))]}]}
+    df = spark.createDataFrame([("t", "c", json.dumps(body)), ("t", "c", "bad")], landed.LANDED)
+    assert [(r.author, r.institution) for r in landed.authorships(df).collect()] == [("first", "I")]
+    assert landed.types_for("academic, nonprofit") == ("education", "healthcare", "nonprofit") and landed.types_for("any") == () and landed.types_for("x") == ("company", "nonprofit")
+    rows = spark.createDataFrame([("acme", "7"), ("acme", "8")], "token string, external_id string")
+    assert [r.external_id for r in landed.one_posting(rows, "https://boards.lever.example/Acme/jobs/8?x=1").collect()] == ["8"]
