@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from quern.llm.canonical import found_canonical
+from quern.llm.canonical import found_canonical, near_spellings
 from quern.llm.linking import found_links, link_confidence
 from quern.llm.mixing import mix
 from quern.llm.names import found_names
@@ -28,6 +28,15 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return found_canonical(*tables(spark, folder, "postings_raw", "skill_entries", "titles", "skills"))
 
 
+def p1_edits(spark: SparkSession, folder: str) -> DataFrame:
+    """The segment join by itself: every distinct title, its letters alone, with the terms as they stand within a typing error of it."""
+    posts, titles = tables(spark, folder, "postings_raw", "titles")
+    letters = lambda c: F.regexp_replace(F.lower(c), "[^a-z]", "")
+    keys = posts.select(letters("title").alias("key")).filter("key <> ''").distinct()
+    terms = titles.select(F.col("term_id").alias("ref_id"), letters("term").alias("spelling"), F.lit(0).alias("cost")).filter("spelling <> ''")
+    return near_spellings(keys, terms).select("key", F.col("ref_id").alias("term_id"), F.col("dist").cast("long").alias("dist"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     postings, queue = tables(spark, folder, "postings_raw", "queue_entries")
     return found_duplicates(spread_out(postings.select("posting_id", "title", "description_html", "description_text", "url")), queue)
@@ -101,7 +110,7 @@ def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_long(docs, "doc_id", "text", set_to["piece_limit"], set_to["piece_overlap"])
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_confidence": p5_confidence, "p7_containers": p7_containers, "p7_held": p7_held, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_kept": p8_kept, "p9_pieces": p9_pieces, "p9_rejoined": p9_rejoined}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_edits": p1_edits, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_confidence": p5_confidence, "p7_containers": p7_containers, "p7_held": p7_held, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_kept": p8_kept, "p9_pieces": p9_pieces, "p9_rejoined": p9_rejoined}
 
 
 def _sql_read(x: str) -> str:
@@ -115,6 +124,10 @@ _SQL_AT = r"regexp_replace(regexp_replace(trim(coalesce(url, '')), '[?#].*$', ''
 _SQL_ADDRESS = rf"lower(regexp_extract({_SQL_AT}, '(?i)^(?:https?://)?([^/]*)', 1)) || regexp_extract({_SQL_AT}, '(?i)^(?:https?://)?[^/]*(/.*)?$', 1)"
 
 SQL: dict[str, str] = {
+    # all titles with all terms
+    "p1_edits": """WITH k AS (SELECT DISTINCT regexp_replace(lower(title), '[^a-z]', '', 'g') AS key FROM postings_raw), t AS (SELECT term_id, regexp_replace(lower(term), '[^a-z]', '', 'g') AS s FROM titles),
+d AS (SELECT key, term_id, s, levenshtein(key, s) AS dist FROM k, t WHERE key <> '' AND s <> '')
+SELECT key, term_id, dist FROM d WHERE dist = 0 OR (length(s) >= 5 AND (dist = 1 OR (dist = 2 AND (length(s) >= 9 OR list_sort(string_split(key, '')) = list_sort(string_split(s, ''))))))""",
     # all pairs with a sequence in common, by exact similarity
     "p2_found": rf"""WITH RECURSIVE p AS (SELECT DISTINCT posting_id AS id, title, description_html AS h, description_text AS plain, {_SQL_ADDRESS} AS ad FROM postings_raw),
 e AS (SELECT *, CASE WHEN NOT regexp_matches(h, '</?[a-zA-Z!?]') AND contains(h, '&lt;') THEN {_sql_read("h")} ELSE h END AS m FROM p),
