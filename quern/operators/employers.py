@@ -75,17 +75,17 @@ GENERIC_WORDS = (
 ).split() + GENERIC_STEMS
 
 
-def affix_siblings(employers: DataFrame, key: str = "norm_name", name: str = "display_name") -> DataFrame:
-    """``key, sibling`` of names that are one institution spelled differently, both ways round.
+def _word_lists(employers: DataFrame, key: str, name: str) -> DataFrame:
+    return employers.select(F.col(key).alias("k"), stem_words(employer_norm(F.col(name))).alias("w"))
+
+
+def _kin(lists: DataFrame) -> DataFrame:
+    """``w, short``: pairs of different word lists of one institution, both ways round.
 
     The words of the one must start those of the other, or end them after
-    generic words alone; two words at least unless equal, one of them not
-    generic.  Such names share their first or last word, so rows meet in the
-    buckets of both; a bucket's equal word lists are one row, as copies of a name
-    say no more than one.
+    generic words alone; two words at least, one of them not generic.  A list
+    meets its own beginnings and ends by equality.
     """
-    words = employers.select(F.col(key).alias("k"), stem_words(employer_norm(F.col(name))).alias("w")).filter(F.size("w") > 0)
-    lists = words.select("w").distinct()
     generic = lambda w: w.isin(GENERIC_WORDS)
     own = F.exists("w", lambda x: ~generic(x))
     # starts: all whole beginnings of two words or more that say something; ends: the same from the other side
@@ -94,12 +94,41 @@ def affix_siblings(employers: DataFrame, key: str = "norm_name", name: str = "di
     heads = begin.select("w", F.slice(F.col("w"), F.lit(1), F.col("n")).alias("short"))
     tails = begin.filter(F.forall(F.slice(F.col("w"), F.lit(1), F.size("w") - F.col("n")), generic)).select("w", F.slice(F.col("w"), F.size("w") - F.col("n") + 1, F.col("n")).alias("short"))
     met = heads.unionByName(tails).join(spoken, "short").select("w", "short").distinct()
-    both = met.unionByName(met.select(F.col("short").alias("w"), F.col("w").alias("short")))
+    return met.unionByName(met.select(F.col("short").alias("w"), F.col("w").alias("short")))
+
+
+def affix_siblings(employers: DataFrame, key: str = "norm_name", name: str = "display_name") -> DataFrame:
+    """``key, sibling`` of names that are one institution spelled differently, both ways round: with equal word lists, or lists of which one starts or ends the other.
+
+    The result is pairs; ``family_totals`` has the sums over them without any.
+    """
+    words = _word_lists(employers, key, name).filter(F.size("w") > 0)
+    lists = words.select("w").distinct()
     same = lists.select("w", F.col("w").alias("short"))
-    pairs = both.unionByName(same).join(words.select(F.col("k").alias("sibling"), F.col("w").alias("short")), "short").join(words, "w")
+    pairs = _kin(lists).unionByName(same).join(words.select(F.col("k").alias("sibling"), F.col("w").alias("short")), "short").join(words, "w")
     return pairs.filter("k <> sibling").select(F.col("k").alias(key), "sibling").distinct()
 
 
+def family_totals(employers: DataFrame) -> DataFrame:
+    """Each employer's statistics together with its siblings', as ``combine`` has them.
+
+    Names of one word list are summed once, and the sums then over the lists that
+    start or end each other, so that many names of one list make no pairs.
+    """
+    words = _word_lists(employers, "norm_name", "display_name").withColumnRenamed("k", "norm_name")
+    # a name without words is a family of its own
+    family = F.when(F.size("w") > 0, F.concat(F.lit("w:"), F.array_join("w", " "))).otherwise(F.concat(F.lit("k:"), "norm_name"))
+    rows = employers.join(words, "norm_name").withColumn("family", family)
+    best = F.max(F.struct("certified", "display_name")).alias("best")
+    sums = lambda: [*[F.sum(c).cast("long").alias(c) for c in _COUNTS], F.max("last_decision").alias("last_decision")]
+    of_list = rows.groupBy("family", "w").agg(best, *sums(), F.count("*").alias("members"))
+    lists = of_list.filter(F.size("w") > 0).select("w")
+    kin = _kin(lists).select(F.concat(F.lit("w:"), F.array_join("w", " ")).alias("family"), F.concat(F.lit("w:"), F.array_join("short", " ")).alias("other"))
+    reach = kin.unionByName(of_list.select("family", F.col("family").alias("other")))
+    whole = reach.join(of_list.drop("w").withColumnRenamed("family", "other"), "other").groupBy("family").agg(F.max("best").alias("best"), *sums(), F.sum("members").alias("members"))
+    return rows.select("norm_name", "family").join(whole, "family").select("norm_name", F.col("best.display_name").alias("display_name"), *_COUNTS, "last_decision", "members")
+
+
 def combine(groups: DataFrame, employers: DataFrame, group: str, member: str) -> DataFrame:
     """The statistics of each group's members together, named by the one with most filings."""
     rows = groups.join(employers.withColumnRenamed("norm_name", member), member)
@@ -113,8 +142,7 @@ def combine(groups: DataFrame, employers: DataFrame, group: str, member: str) ->
 
 def name_index(employers: DataFrame, least: int = 1) -> DataFrame:
     """``form, certified, analyst_certified``: lookup forms of every employer with its siblings' filings; the larger wins a form."""
-    pairs = affix_siblings(employers).unionByName(employers.select("norm_name", F.col("norm_name").alias("sibling")))
-    merged = combine(pairs.withColumnRenamed("norm_name", "g"), employers, "g", "sibling").select(F.col("g").alias("norm_name"), F.col("certified").alias("c"), F.col("analyst_certified").alias("a"))
+    merged = family_totals(employers).select("norm_name", F.col("certified").alias("c"), F.col("analyst_certified").alias("a"))
     rows = employers.filter(F.col("certified") >= least).join(merged, "norm_name")
     forms = F.array_distinct(F.array(simple_key(F.col("display_name")), simple_key(employer_norm(F.col("display_name")))))
     rows = rows.select(F.explode(forms).alias("form"), "c", "a").filter("form <> ''")

@@ -134,9 +134,7 @@ def affix_siblings(spark, folder):
 SELECT g.norm_name, arg_max(e.display_name, (e.certified, e.display_name)) AS display_name, sum(e.certified)::BIGINT AS certified, sum(e.analyst_certified)::BIGINT AS analyst_certified,
   sum(e.denied)::BIGINT AS denied, max(e.last_decision) AS last_decision, count(*) AS members FROM g JOIN rekeyed e ON e.norm_name = g.sibling GROUP BY 1""")
 def sibling_totals(spark, folder):
-    e = _rekeyed(spark, folder)
-    groups = em.affix_siblings(e).unionByName(e.select("norm_name", F.col("norm_name").alias("sibling")))
-    return em.combine(groups.withColumnRenamed("norm_name", "g"), e, "g", "sibling").withColumnRenamed("g", "norm_name")
+    return em.family_totals(_rekeyed(spark, folder))
 
 
 @query(f"""WITH {_REKEYED}, {_SIBLINGS}, g AS (SELECT * FROM sib UNION SELECT norm_name, norm_name FROM rekeyed WHERE norm_name IS NOT NULL),
@@ -316,8 +314,7 @@ def skills_in_texts(spark, folder):
     lex = _skill_lexicon(spark, folder)
     # in lower case once, not for each term
     rows = spread_out(table(spark, folder, "documents").filter("text is not null").select("doc_id", "text")).select("doc_id", F.lower("text").alias("low"))
-    rows = rows.withColumn("words", lexicon.words_of(F.col("low"), lex))
-    rows = rows.select("doc_id", lexicon.terms_in(F.col("low"), lex, F.col("words")).alias("x"))
+    rows = rows.select("doc_id", lexicon.terms_in(F.col("low"), lex).alias("x"))
     return rows.select("doc_id", F.array_join("x.names", "; ").alias("names"), F.col("x.weight").cast("long").alias("weight"))
 
 
