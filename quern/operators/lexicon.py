@@ -58,33 +58,37 @@ def term_pattern(forms: Sequence[str]) -> str:
     return rf"(?<![a-z0-9])(?:{'|'.join(re.escape(f) for f in sorted(set(forms), key=lambda f: (-len(f), f)))})(?![a-z0-9])"
 
 
-def _word(form: str) -> str:
-    """The longest run of letters and digits of a form, which is a whole word of any text that has it; empty if it has none."""
-    return max(re.findall(r"[a-z0-9]+", form.lower()), key=len, default="")
-
-
-def words_of(low: Column, lexicon: Sequence[tuple[str, Sequence[str], int]]) -> Column:
-    """The words of a text in lower case that stand for forms of the lexicon: one pass over the text in place of one for each form."""
-    words = sorted({_word(f) for _, forms, _ in lexicon for f in forms if f} - {""})
-    return F.array_intersect(F.split(low, "[^a-z0-9]+"), F.array(*map(F.lit, words)).cast("array<string>"))
-
-
-def has_term(low: Column, forms: Sequence[str], words: Column | None = None) -> Column:
-    """Whether a text in lower case has one of the forms as words; ``words`` are the text's ``words_of`` a lexicon with these forms."""
+def has_term(low: Column, forms: Sequence[str]) -> Column:
+    """Whether a text in lower case has one of the forms as words."""
     forms = [f.lower() for f in forms if f]
-    if words is not None and forms and all(map(_word, forms)):
-        near = F.arrays_overlap(words, F.array(*[F.lit(w) for w in sorted({_word(f) for f in forms})]))
-        return F.coalesce(near & low.rlike(term_pattern(forms)), F.lit(False))
     maybe = None
     for f in forms:
         maybe = F.contains(low, F.lit(f)) if maybe is None else maybe | F.contains(low, F.lit(f))
     return F.coalesce(maybe & low.rlike(term_pattern(forms)), F.lit(False))
 
 
-def terms_in(low: Column, lexicon: Sequence[tuple[str, Sequence[str], int]], words: Column | None = None) -> Column:
-    """``names, weight`` of the entries ``(name, forms, weight)`` that a text in lower case has, in the list's order."""
-    hits = F.array(*[F.when(has_term(low, forms, words), F.struct(F.lit(name).alias("name"), F.lit(weight).alias("weight"))) for name, forms, weight in lexicon])
-    hits = F.array_compact(hits)
+def terms_in(low: Column, lexicon: Sequence[tuple[str, Sequence[str], int]]) -> Column:
+    """``names, weight`` of the entries ``(name, forms, weight)`` that a text in lower case has, in the list's order.
+
+    One pass over the text finds the longest form that begins at each place; the
+    shorter ones that begin there with it are known from the list.
+    """
+    entries: dict[str, list[int]] = {}
+    for i, (_, forms, _) in enumerate(lexicon):
+        for f in {f.lower() for f in forms if f}:
+            entries.setdefault(f, []).append(i)
+    none = F.array().cast("array<int>")
+    if not entries:
+        return F.struct(F.array().cast("array<string>").alias("names"), F.lit(0).alias("weight"))
+    word = re.compile("[a-z0-9]")
+    ends = lambda long, short: long.startswith(short) and not word.match(long[len(short) :])
+    meant = {f: sorted({i for g, own in entries.items() if ends(f, g) for i in own}) for f in entries}
+    pairs = [x for f, own in meant.items() for x in (F.lit(f), F.array(*map(F.lit, own)))]
+    forms = "|".join(re.escape(f) for f in sorted(entries, key=lambda f: (-len(f), f)))
+    found = F.array_distinct(F.regexp_extract_all(F.coalesce(low, F.lit("")), F.lit(rf"(?<![a-z0-9])(?=({forms})(?![a-z0-9]))"), 1))
+    at = F.array_sort(F.array_distinct(F.flatten(F.transform(found, lambda f: F.coalesce(F.try_element_at(F.create_map(*pairs), f), none)))))
+    listed = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(w).alias("weight")) for n, _, w in lexicon])
+    hits = F.transform(at, lambda i: F.get(listed, i))
     return F.struct(F.transform(hits, lambda h: h["name"]).alias("names"), F.aggregate(hits, F.lit(0), lambda n, h: n + h["weight"]).alias("weight"))
 
 
