@@ -67,6 +67,19 @@ def has_term(low: Column, forms: Sequence[str]) -> Column:
     return F.coalesce(maybe & low.rlike(term_pattern(forms)), F.lit(False))
 
 
+def _prefix_pattern(forms: Sequence[str]) -> str:
+    """A pattern of all forms with common beginnings written once; of forms that begin alike the longest is tried first."""
+    ends, by = "" in forms, {}
+    for f in forms:
+        if f:
+            by.setdefault(f[0], []).append(f[1:])
+    ways = [re.escape(c) + _prefix_pattern(rest) for c, rest in sorted(by.items())]
+    if not ways:
+        return ""
+    body = ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+    return f"(?:{body})?" if ends else body
+
+
 def terms_in(low: Column, lexicon: Sequence[tuple[str, Sequence[str], int]]) -> Column:
     """``names, weight`` of the entries ``(name, forms, weight)`` that a text in lower case has, in the list's order.
 
@@ -84,8 +97,7 @@ def terms_in(low: Column, lexicon: Sequence[tuple[str, Sequence[str], int]]) ->
     ends = lambda long, short: long.startswith(short) and not word.match(long[len(short) :])
     meant = {f: sorted({i for g, own in entries.items() if ends(f, g) for i in own}) for f in entries}
     pairs = [x for f, own in meant.items() for x in (F.lit(f), F.array(*map(F.lit, own)))]
-    forms = "|".join(re.escape(f) for f in sorted(entries, key=lambda f: (-len(f), f)))
-    found = F.array_distinct(F.regexp_extract_all(F.coalesce(low, F.lit("")), F.lit(rf"(?<![a-z0-9])(?=({forms})(?![a-z0-9]))"), 1))
+    found = F.array_distinct(F.regexp_extract_all(F.coalesce(low, F.lit("")), F.lit(rf"(?<![a-z0-9])(?=({_prefix_pattern(list(entries))})(?![a-z0-9]))"), 1))
     at = F.array_sort(F.array_distinct(F.flatten(F.transform(found, lambda f: F.coalesce(F.try_element_at(F.create_map(*pairs), f), none)))))
     listed = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(w).alias("weight")) for n, _, w in lexicon])
     hits = F.transform(at, lambda i: F.get(listed, i))
